@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import exact, mixing, packing, repetition, sharding
+from cuesmith.llm import exact, mixing, packing, repetition, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,24 @@ from documents window same as (partition by coalesce(text, ''))
 def op10_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(documents(spark, sf_dir))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _base32_sql(hexes: str) -> str:
+    """DuckDB's hex SHA-1 as base32."""
+    bits = [f"('0x' || substr({hexes}, {g * 5 + 1}, 5))::int" for g in range(8)]
+    return " || ".join(f"substr('{warc.BASE32}', (({b}) >> {shift}) % 32 + 1, 1)" for b in bits for shift in (15, 10, 5, 0))
+
+
+ORACLE["op1_warc_zstd"] = f"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+     q as (select page_id, strlen(html) as payload_bytes, h, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, {_base32_sql("h")} as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from q
+"""
