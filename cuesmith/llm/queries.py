@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import exact, mixing, packing, repetition, sharding, warc
+from cuesmith.llm import exact, jaccard, mixing, packing, repetition, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,8 @@ select page_id, payload_bytes, {_base32_sql("h")} as payload_digest,
        case when page_id <> first then first end as refers_to
 from q
 """
+
+
+@query
+def op8_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("rid")
