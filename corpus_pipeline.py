@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesmith.llm import packing, queries, repetition
+from cuesmith.llm import exact, jaccard, mixing, packing, queries, repetition
 from cuesmith.llm.common import save
 
 
@@ -14,12 +14,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep_unrepetitive(docs)
 
 
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.drop_exact_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_mix(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary(), end_id=2)
 
 
 #: In this order; each stage's result is written and read again as the next one's docs.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("exact duplicates", exact_duplicates),
+    ("near duplicates", near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
 #: SQL can't express packing (nor its tokenizer); tests hold the stages against brute force.
 ORACLE_SQL = None
