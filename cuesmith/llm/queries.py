@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import exact, jaccard, mixing, packing, passages, repetition, sharding, suffix, warc
+from cuesmith.llm import exact, jaccard, mixing, packing, passages, private, repetition, sharding, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,8 @@ def op6_interval_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(documents(spark, sf_dir))
+
+
+@query
+def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_spans(documents(spark, sf_dir)).drop("rid", "found")
