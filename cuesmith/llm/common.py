@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy step works on; bounds the memory of a task whatever the texts' lengths.
 STEP = 1 << 21
 
+#: Rows of one Arrow batch; with texts of some KB, a few MB.
+BATCH_ROWS = 1000
+
 U64 = np.uint64
 
 
@@ -50,6 +53,14 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches to BATCH_ROWS, since rows of these tables carry whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     """Adds a number that names the row: split index and place in it. df must be a plain scan, so that every reading numbers alike."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import BYTE, POWERS, STEP, U64, discard, mix, row_ids, save, text_buffers
+from cuesmith.llm.common import BYTE, POWERS, STEP, U64, discard, mix, row_ids, save, small_batches, text_buffers
 from cuesmith.llm.jaccard import planes, unplanes
 
 #: Bytes of an anchor's gram.
 GRAM = 20
 #: Places of one anchor that a task sorts; anchors with more are counted window by window instead, which needs no group.
 GROUP = 4096
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at")]])
 SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("hot", T.BooleanType())])
@@ -75,7 +75,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarr
     return at, h[at]
 
 
-def pieces(offsets: np.ndarray, overlap: int, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray]]:
+def pieces(offsets: np.ndarray, overlap: int, most: int = STEP // 4) -> Iterator[tuple[int, int, np.ndarray]]:
     """Ranges (first byte, first row, offsets from that byte) of whole rows, or of parts of a long row that overlap by `overlap` bytes."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -285,7 +285,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return row_ids(docs).select("rid", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    return row_ids(small_batches(docs)).select("rid", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
 
 def _shared(texts: DataFrame, least: int, group: int) -> DataFrame:
