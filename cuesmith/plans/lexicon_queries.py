@@ -38,7 +38,7 @@ def dictionary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rewrites of frequent words of the documents.
-TERMS = {"the": "THE", "of": "OF-X", "und": "UND", "der": "D.E.R", "les": "L$S", "and": "A\\ND"}
+TERMS = {"the": "THE", "of": "XOFX", "und": "UND", "der": "D.E.R", "les": "L$S", "and": "A\\ND"}
 
 
 def _rewritten(text: str) -> str:
