@@ -42,12 +42,12 @@ TERMS = {"the": "THE", "of": "XOFX", "und": "UND", "der": "D.E.R", "les": "L$S",
 
 
 def _rewritten(text: str) -> str:
-    """RE2 has no look-around: a bound is captured and put back, and a second pass takes neighbours that share one."""
+    """RE2 has no look-around: every character that may bound a word is doubled, so that each word has its own, and halved at the end."""
+    text = f"regexp_replace({text}, '([^A-Za-z0-9])', '\\1\\1', 'g')"
     for source, target in sorted(TERMS.items(), key=lambda t: (-len(t[0]), t[0])):
-        for _ in range(2):
-            form = target.replace("\\", "\\\\")
-            text = f"regexp_replace({text}, '(^|[^A-Za-z0-9])(?i:{source})($|[^A-Za-z0-9])', '\\1{form}\\2', 'g')"
-    return text
+        form = "".join(c if c.isalnum() else c * 2 for c in target).replace("\\", "\\\\")
+        text = f"regexp_replace({text}, '(^|[^A-Za-z0-9])(?i:{source})($|[^A-Za-z0-9])', '\\1{form}\\2', 'g')"
+    return f"regexp_replace({text}, '(?s)([^A-Za-z0-9])[^A-Za-z0-9]', '\\1', 'g')"
 
 
 @query(f"select doc_id, sha256({_rewritten('text')}) as text_sha256 from documents")
