@@ -16,8 +16,12 @@ from cuesmith.llm.graph import components
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
-#: Documents from which a shingle is common: common ones come last in the order of shingles, and longer lists link neighbours first.
+#: Documents from which a shingle is common: common ones come last in the order of shingles.
 COMMON = 32
+#: Lists up to this long give all their pairs; longer ones link neighbours first.
+LONG = 8
+#: 64-bit words of a set's parity bitmap: as many bits as differ between two bitmaps, at least, do members between their sets.
+PARITY = 16
 #: Most common shingles, the most frequent ones, that tasks are told of; it bears on speed only.
 MOST_COMMON = 1 << 20
 #: A longer list is dealt out into sublists of about this many documents.
@@ -27,7 +31,7 @@ GATHERED = 1 << 22
 #: Largest size that the boundary between small and large sets may take.
 MOST_SMALL = 64
 
-DOC = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
+DOC = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))])
 BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("tag", "rid", "n", "at")]])
 COUNT = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hits", T.LongType())])
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("bucket", "tag", "n", "at")]])
@@ -61,14 +65,17 @@ def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, high, low = [], [], []
+        n, high, low, parity = [], [], [], []
         with np.errstate(over="ignore"):
             for s in _sets(batch, 2):
                 n.append(len(s))
                 high.append(int(mix(s).sum()))
                 low.append(int(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum()))
+                odd = np.bincount((s >> U64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
         as_long = lambda x: pa.array(np.array(x, U64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), as_long(high), as_long(low)], DOC.names)
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(parity)) if parity else pa.array([], pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), as_long(high), as_long(low), bits], DOC.names)
 
 
 class _Seen:
@@ -203,7 +210,7 @@ def _may_link(n, m, i, j):
 
 
 def _meet(group: pa.Table, small: int) -> pa.Table:
-    """Pairs that meet in the lists of a bucket. Lists of up to COMMON rows give all their pairs; of longer ones neighbours by size and
+    """Pairs that meet in the lists of a bucket. Lists of up to LONG rows give all their pairs; of longer ones neighbours by size and
     by two random orders, and their entries (b null), for the pairs that links between neighbours leave open."""
     column = lambda c, kind: np.concatenate([unplanes(b, kind) for b in group.column(c).to_pylist()])
     tag, rid, n, at = column("tag", "<u4").astype(np.int64), column("rid", "<i8"), column("n", "<u4").astype(np.int64), column("at", "<i4").astype(np.int64)
@@ -219,7 +226,7 @@ def _meet(group: pa.Table, small: int) -> pa.Table:
     first = np.flatnonzero(np.append(True, tag[1:] != tag[:-1])) if len(tag) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(tag)))
     keep = np.repeat(size > 1, size)
-    long = np.repeat(size > COMMON, size)[keep]
+    long = np.repeat(size > LONG, size)[keep]
     tag, rid, n, at = tag[keep], rid[keep], n[keep], at[keep]
     found = []
 
@@ -233,7 +240,7 @@ def _meet(group: pa.Table, small: int) -> pa.Table:
         x, y = r[same[ok]], r[same[ok] + d]
         found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
 
-    for d in range(1, min(COMMON, len(tag))):
+    for d in range(1, min(LONG, len(tag))):
         if not (tag[d:] == tag[:-d]).any():
             break
         pairs(tag, rid, n, at, d, ~long)
@@ -280,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
        estimated work is least; a pair of a small and a large set meets in the lists.
     3. Pairs that pass size and position filters are verified on whole texts.
     4. Long lists (hot shingles, groups of thousands of copies) first link neighbours in three orders; only entries of lists that then
-       still hold several components are paired across components, so no link between different components is lost.
+       still hold several components are paired across components, filtered by parity bitmaps, so no link between components is lost.
 
     Equal sets are one class, found by a 128-bit sum; each task sends a set once. Null, empty or wordless text: n_shingles 0, its own
     component. Null doc_ids are passed over by the minimum; a component of only nulls is null. Repeated rows link with one another.
@@ -316,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links = save(verified(pairs, texts.select("rid", "text")))
     reached = save(components(links))
 
-    open_ = _open_pairs(met, of, reached, small)
+    parity = known.select(F.col("rid").alias("cls"), "parity")
+    open_ = _open_pairs(met, of, reached, parity, small)
     if open_ is not None:
         links = links.unionByName(verified(open_, texts.select("rid", "text")))
         reached = save(components(links))
@@ -327,17 +335,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, small: int) -> DataFrame | None:
-    """Pairs of classes in different components that share a long list and pass the filters; None where no list holds two components."""
+def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataFrame, small: int) -> DataFrame | None:
+    """Pairs of classes in different components that share a long list and pass the filters; None where no list holds two components.
+
+    Beside size and position, sets' parity bitmaps must differ in no more bits than members may differ between sets that link, so that
+    hardly a pair comes through that doesn't.
+    """
     entries = met.where("b is null").select("bucket", "tag", F.col("a").alias("rid"), "n", "at")
     entries = entries.join(of, "rid").join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = entries.groupBy("bucket", "tag").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "tag")
-    entries = save(entries.join(mixed, ["bucket", "tag"]).select("bucket", "tag", "cls", "component", "n", "at").distinct())
+    entries = save(entries.join(mixed, ["bucket", "tag"]).select("bucket", "tag", "cls", "component", "n", "at").distinct().join(parity, "cls"))
     if entries.isEmpty():
         return None
     x, y = entries.alias("x"), entries.alias("y")
     n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
     fits = (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & ((i < 0) | ((F.least(n - i, m - j)) * (100 + PERCENT) >= (n + m) * PERCENT)) & ((i < 0) | (F.greatest(n, m) > small))
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, b: t + b)
+    fits &= differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
     meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tag") == F.col("y.tag")) & (F.col("x.component") < F.col("y.component"))
     return save(x.join(y, meet & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
 
