@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import BYTE, STEP, span_hashes, steps, text_buffers, words_of
+from cuesmith.llm.common import BYTE, STEP, small_batches, span_hashes, steps, text_buffers, words_of
 
 #: Pieces that wait for a window; the pool is packed down to half of it when it is full.
 POOL = 4096
@@ -89,8 +89,8 @@ class WordEncoder:
             words = [raw[a:b].decode() for a, b in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)]
             for i in range(0, len(new), CHUNK):
                 self._learn([keys[j] for j in new[i : i + CHUNK]], words[i : i + CHUNK])
-            for n, i in enumerate(new):
-                at[i] = known + n
+            for place, i in enumerate(new, known):
+                at[i] = place
         at = np.array(at, np.int64)[back]
         first = self.first[at]
         size = self.first[at + 1] - first
@@ -228,4 +228,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
         if rows:
             yield out()
 
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text).mapInArrow(run, schema)
