@@ -12,20 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import BYTE, POWERS, STEP, U64, discard, mix, row_ids, save, small_batches, text_buffers
+from cuesmith.llm.common import BYTE, POWERS, STEP, U64, mix, row_ids, save, small_batches, text_buffers
 from cuesmith.llm.jaccard import planes, unplanes
 
 #: Bytes of an anchor's gram.
 GRAM = 20
-#: Places of one anchor that a task sorts; anchors with more are counted window by window instead, which needs no group.
+#: Places of one anchor that a task sorts; anchors with more are dealt out in shares.
 GROUP = 4096
 GATHERED = 1 << 18
 
 ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at")]])
 SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("hot", T.BooleanType())])
-CONTEXTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType())])
+CONTEXTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("claim", T.LongType())])
 RUNS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
-WINDOWS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+HOT = T.StructType([*RUNS.fields, T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("known", T.BooleanType())])
 REPEATS = T.StructType([T.StructField("length", T.LongType()), T.StructField("n", T.LongType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType())])))])
 CUT = T.StructType([T.StructField("rid", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())])
 
@@ -135,20 +135,27 @@ def _share(group: pa.Table, most: int) -> pa.Table:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around each place: so many before and from it as a repeated string that holds the anchor can reach."""
+    """The bytes around each place: so many before and from it as a repeated string that holds the anchor can reach; claim: how many
+    bytes before it a string may begin that holds none of the text's earlier places."""
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], CONTEXTS.names)
+
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         rows = []
         for i, (rid, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
-            for p in places:
+            text, last = data[offsets[i] : offsets[i + 1]].tobytes(), -1
+            for p in sorted(places, key=lambda p: p["at"]):
                 at = p["at"]
-                rows.append((p["anchor"], rid, at, text[max(0, at - least + GRAM) : at][::-1], text[at : at + least]))
+                rows.append((p["anchor"], rid, at, text[max(0, at - least + GRAM) : at][::-1], text[at : at + least], at - last - 1))
+                last = at
             if len(rows) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.dataType.simpleString().replace("bigint", "int64")) for c, f in zip(zip(*rows, strict=True), CONTEXTS, strict=True)], CONTEXTS.names)
+                yield out(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.dataType.simpleString().replace("bigint", "int64")) for c, f in zip(zip(*rows, strict=True), CONTEXTS, strict=True)], CONTEXTS.names)
+            yield out(rows)
 
 
 def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,19 +223,19 @@ def maximal_repeats(left: list[bytes], right: list[bytes], group: np.ndarray, le
                 yield members[p], reach[p], length
 
 
-def _ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-    anchor, rid, at = (group.column(c).to_numpy() for c in ("anchor", "rid", "at"))
+def _ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    anchor, rid, at, claim = (group.column(c).to_numpy() for c in ("anchor", "rid", "at", "claim"))
     left, right = group.column("left").to_pylist(), group.column("right").to_pylist()
     by = np.argsort(anchor, kind="stable")
     order = []
     for part in np.split(by, np.flatnonzero(np.diff(anchor[by])) + 1):
         order += sorted(part.tolist(), key=right.__getitem__)
-    return anchor[order], rid[order], at[order], [left[i] for i in order], [right[i] for i in order]
+    return anchor[order], rid[order], at[order], claim[order], [left[i] for i in order], [right[i] for i in order]
 
 
 def _cover(group: pa.Table, least: int) -> pa.Table:
     """What repeats cover around each place."""
-    anchor, rid, at, left, right = _ordered(group)
+    anchor, rid, at, _, left, right = _ordered(group)
     lo, hi = at.copy(), at.copy()
     for members, reach, length in maximal_repeats(left, right, anchor, least):
         lo[members] = np.minimum(lo[members], at[members] - reach)
@@ -251,21 +258,46 @@ def _merged(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return rid[first], lo[first], (stop - number * span)[np.append(np.flatnonzero(first)[1:] - 1, len(rid) - 1)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """128-bit hashes of all `least`-byte strings that hold one of a text's hot anchors."""
-    other = BYTE[::-1].copy()
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(1))
-        for i, (rid, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]]
-            starts = np.unique(np.concatenate([np.arange(max(0, p["at"] - least + GRAM), min(p["at"], len(text) - least) + 1) for p in places]))
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                for a in range(0, len(part), STEP):
-                    some = part[a : a + STEP]
-                    if len(some):
-                        bytes_ = text[some[0] : some[-1] + least]
-                        h = [gram_hashes(bytes_, least, c).view(np.int64) for c in (BYTE, other)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), rid)), pa.array(some), *map(pa.array, h)], WINDOWS.names)
+def _cover_hot(group: pa.Table, least: int) -> pa.Table:
+    """One share of a hot anchor's places: the runs that repeats within the share cover; and the hashes of the strings around its places
+    that they leave open (known: false), beside each different string that they find repeated (known: true)."""
+    anchor, rid, at, claim, left, right = _ordered(group)
+    n, reach = len(rid), least - GRAM  # a string begins 0 to reach bytes before the anchor
+    edge = np.zeros((n, reach + 2), np.int32)
+    for members, far, length in maximal_repeats(left, right, anchor, least):
+        np.add.at(edge, (members, np.full(len(members), least - length)), 1)
+        np.add.at(edge, (members, far + 1), -1)
+    before, ahead = (np.fromiter(map(len, x), np.int64, n) for x in (left, right))
+    back = np.arange(reach + 1)
+    there = (back <= before[:, None]) & (least - back <= ahead[:, None])
+    known = (np.cumsum(edge, axis=1)[:, :-1] > 0) & there
+    lo = np.where(known, back, -1).max(axis=1)
+    hi = np.where(known, least - back, -1).max(axis=1)
+    some = lo >= 0
+    text = np.frombuffer(b"".join(x.ljust(reach, b"\0")[::-1] + y.ljust(least, b"\0") for x, y in zip(left, right, strict=True)), np.uint8)
+    h = [gram_hashes(text, least, c).view(np.int64) for c in (BYTE, BYTE[::-1].copy())]
+    row, b = np.nonzero(there & (back <= claim[:, None]))
+    place = row * (reach + least) + reach - b
+    found = known[row, b]
+    h1, h2 = h[0][place], h[1][place]
+    # of repeated strings, one of each kind
+    first = np.zeros(len(row), bool)
+    seen = np.flatnonzero(found)
+    first[seen[np.unique(h1[seen], return_index=True)[1]]] = True
+    put = ~found | first
+    start = at[row[put]] - b[put]
+    none = pa.nulls(int(some.sum()), pa.int64())
+    join = lambda x, y: pa.concat_arrays([x, y])
+    return pa.table(
+        {
+            "rid": np.concatenate([rid[some], rid[row[put]]]),
+            "lo": np.concatenate([at[some] - lo[some], start]),
+            "hi": np.concatenate([at[some] + hi[some], start + least]),
+            "h1": join(none, pa.array(h1[put])),
+            "h2": join(none, pa.array(h2[put])),
+            "known": join(pa.nulls(int(some.sum()), pa.bool_()), pa.array(found[put])),
+        }
+    )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +340,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     2. Texts without such anchors are done. Of equal texts all are repeats of each other (if long enough), and one stands for them.
     3. The bytes around the others' shared anchors go to groups by anchor. Each group's right sides are sorted into an enhanced suffix
        array whose interval tree, scanned with a stack, gives all maximal repeats with all their places (maximal_repeats).
-    4. Anchors at more than `group` places don't go to one task: each `least`-byte string around them is counted by a 128-bit hash, with
-       map-side sums.
+    4. Places of an anchor that is found more than `group` times are dealt out in shares, each sorted alone; what repeats within a share
+       is known then. Only strings that are still open are counted across shares, by 128-bit hashes with map-side sums.
 
     Null and empty texts, and those shorter than `least`, lose nothing. Repeated rows are copies of one another. Other columns aren't
     read. docs must be a plain scan. Long texts are read in overlapping parts.
@@ -323,7 +355,6 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     shared = save(_shared(texts, least, group))
     places = shared.join(copies.where("extra"), "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))
     kept = save(texts.select("rid", "text").join(places, "rid"))
-    discard(shared)
 
     def cover(table: pa.Table) -> pa.Table:
         return _cover(table, least)
@@ -334,9 +365,18 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     runs = around.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(cover, RUNS)
     hot = of(True)
     if not hot.isEmpty():
-        windows = save(hot.select("rid", "text", "places").mapInArrow(partial(_windows, least=least), WINDOWS))
-        twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        runs = runs.unionByName(windows.join(twice, ["h1", "h2"]).select("rid", "lo", (F.col("lo") + least).alias("hi")))
+
+        def cover_hot(table: pa.Table) -> pa.Table:
+            return _cover_hot(table, least)
+
+        counts = shared.where("hot").groupBy("anchor").agg(F.count("*").alias("n"))
+        places = hot.mapInArrow(partial(_contexts, least=least), CONTEXTS).join(counts, "anchor")
+        share = F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / group))
+        strings = save(places.groupBy("anchor", share.alias("share")).applyInArrow(cover_hot, HOT))
+        of_strings = strings.where("h1 is not null")
+        twice = of_strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("known").alias("known")).where("n > 1 or known").select("h1", "h2")
+        open_ = of_strings.where("not known").join(twice, ["h1", "h2"])
+        runs = runs.unionByName(strings.where("h1 is null").select("rid", "lo", "hi")).unionByName(open_.select("rid", "lo", "hi"))
     runs = save(runs)
 
     whole = copies.select("rid")
@@ -364,7 +404,7 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
     places = shared.where("not hot").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))
 
     def groups(table: pa.Table) -> pa.Table:
-        anchor, rid, at, left, right = _ordered(table)
+        anchor, rid, at, _, left, right = _ordered(table)
         rows = []
         for members, reach, length in maximal_repeats(left, right, anchor, least):
             shortest = int(reach.min())
