@@ -141,9 +141,10 @@ def read_protected(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Vocabulary: the line's number is the token's id; an empty file is an error."""
-    text = F.col("content").cast("string")
-    checked = F.when(text == "", F.raise_error(F.lit("empty vocabulary")).cast("string")).otherwise(F.regexp_replace(text, "\r?\n$", ""))
-    return spark.read.format("binaryFile").load(path).select(F.posexplode(F.split(checked, "\r?\n")).alias("token_id", "token"))
+    found = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("token_id", "token"))
+    if found.isEmpty():
+        raise ValueError(f"empty vocabulary: {path}")
+    return found
 
 
 def _relative(path: Column, root: str) -> Column:
