@@ -153,3 +153,56 @@ def detokenize(paths: DataFrame, vocab: DataFrame, key: str = "utt") -> DataFram
     rows = paths.where("id > 0").join(vocab.select((F.col("token_id") + 1).alias("id"), "token"), "id", "left")
     rows = rows.withColumn("token", F.coalesce("token", F.format_string("<score-id:%d>", F.col("id") - 1)))
     return rows.where(~F.col("token").isin(*SPECIAL)).select(key, "pos", "token")
+
+
+def flag_results(transcripts: DataFrame) -> DataFrame:
+    """Adds success (raw text isn't empty); failed rows get a blank text, an error and no confidence."""
+    good = F.coalesce(F.col("raw_text") != "", F.lit(False))
+    rows = transcripts.withColumn("success", good)
+    return rows.withColumns(
+        {
+            "text": F.when(good, F.col("text")).otherwise(""),
+            "confidence": F.when(good, F.col("confidence")).otherwise(F.lit(0.0)),
+            "error": F.when(~good, F.coalesce("error", F.lit("empty result"))),
+        }
+    )
+
+
+def session_lines(results: DataFrame, captures: DataFrame, key: str = "stream_id") -> DataFrame:
+    """Adds lines: the non-blank texts of a capture so far. results: (stream_id, ts, text); captures: start_ts <= ts < end_ts."""
+    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("end_ts").isNull() | (F.col("ts") < F.col("end_ts")))
+    rows = results.where(F.trim("text") != "").join(captures, key).where(inside)
+    own = Window.partitionBy(key, "capture_idx").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("lines", F.collect_list("text").over(own)).select(key, "capture_idx", "ts", "text", "lines")
+
+
+def english_spacing(words: DataFrame, key: str = "utt") -> DataFrame:
+    """Words (utt, pos, text) with blanks between English ones: the first capital, single capitals joined, none after a CJK character,
+    one before digits that follow a word."""
+    own = Window.partitionBy(key).orderBy("pos")
+    bare = F.trim("text")
+    last = F.trim(F.lag("text").over(own))
+    letters, first = bare.rlike("^[A-Za-z]+$") & (bare == F.col("text")), F.row_number().over(own) == 1
+    capital = F.when(first & bare.rlike("^[a-z]"), F.concat(F.upper(F.left(bare, F.lit(1))), F.substring(bare, F.lit(2), F.length(bare)))).otherwise(bare)
+    joins = bare.rlike("^[A-Z]$") & F.coalesce(last.rlike("^[A-Z]$"), F.lit(False))
+    after_cjk = F.coalesce(last.rlike("[㐀-鿿]$"), F.lit(False))
+    blank = F.when(letters & (first | (~after_cjk & ~joins)), " ").when(first & bare.rlike("^[A-Za-z]"), " ")
+    blank = blank.when(~first & bare.rlike("^[0-9]") & F.coalesce(last.rlike("^[A-Za-z]+$"), F.lit(False)), " ")
+    lead = F.regexp_extract("text", r"^(\s*)", 1)
+    spaced = F.concat(F.coalesce(blank, F.when(letters, F.lit("")).otherwise(lead)), F.when(letters | first, capital).otherwise(F.regexp_replace("text", r"^\s+", "")))
+    return words.withColumn("text", F.when(bare == "", F.col("text")).otherwise(spaced))
+
+
+def coalesce_per_mille(words: DataFrame, key: str = "utt") -> DataFrame:
+    """Words with a ‰ merged into the unsigned decimal before it."""
+    own = Window.partitionBy(key).orderBy("pos")
+    merges = (F.trim("text") == "‰") & F.coalesce(F.trim(F.lag("text").over(own)).rlike(r"^[0-9]+(\.[0-9]+)?$"), F.lit(False))
+    rows = words.withColumn("_w", F.sum(F.when(merges, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("text", F.when(merges, F.trim("text")).otherwise(F.col("text")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("t")))), lambda x: x["t"]), "")
+    return marked.groupBy(key, "_w").agg(F.min("pos").alias("pos"), joined.alias("text")).drop("_w")
+
+
+def midnight_zero(text: Column) -> Column:
+    """0: at the beginning of an hour as 00:."""
+    return F.regexp_replace(text, "(?<![0-9])0:", "00:")

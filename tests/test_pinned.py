@@ -156,3 +156,20 @@ def test_scores(spark):
     got = scores.rerank(spark.createDataFrame([("u", 2, 1, -0.2, -0.4, [1]), ("u", 2, 9, -2.0, -0.4, [1, 9])], schema), done, 2, 9, 10)
     assert [(r.path, r.terminal) for r in got.orderBy("rank").collect()] == [([1], False), ([9], True)]
     assert scores.best_path(got, final=True).first().path == [9] and scores.best_path(got, final=False).first().path == [1]
+
+
+def test_words(spark):
+    words = lambda *t: spark.createDataFrame([("u", i, x) for i, x in enumerate(t)], "utt string, pos int, text string")
+    said = lambda df: "".join(r.text for r in df.orderBy("pos").collect())
+    assert said(U.english_spacing(words("G", "P", "T"))) == " GPT"
+    assert said(U.english_spacing(words("hello", "world", "5", "好", "abc"))) == " Hello world 5好abc"
+    assert said(U.coalesce_per_mille(words("3.5", " ‰", "好", "‰"))) == "3.5‰好‰"
+    df = spark.createDataFrame([("s", "", "x", 0.5, None), ("t", "r", "y", 0.5, None)], "id string, raw_text string, text string, confidence double, error string")
+    assert [(r.success, r.text, r.confidence, r.error) for r in U.flag_results(df).orderBy("id").collect()] == [(False, "", 0.0, "empty result"), (True, "y", 0.5, None)]
+    assert apply(spark, U.midnight_zero, ["0:05", "10:05", "x0:1"]) == ["00:05", "10:05", "x00:1"]
+
+
+def test_session_lines(spark):
+    results = spark.createDataFrame([("a", 1, "one"), ("a", 2, " "), ("a", 3, "two"), ("a", 9, "late")], "stream_id string, ts int, text string")
+    captures = spark.createDataFrame([("a", 0, 0, 5)], "stream_id string, capture_idx int, start_ts int, end_ts int")
+    assert [r.lines for r in U.session_lines(results, captures).orderBy("ts").collect()] == [["one"], ["one", "two"]]
