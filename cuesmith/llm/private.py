@@ -57,14 +57,20 @@ def _placed(found: DataFrame) -> DataFrame:
     return found.withColumn("start", start).withColumn("end", F.col("start") + size)
 
 
-def entity_spans(texts: DataFrame) -> DataFrame:
-    """Personal data in texts (rid, text): rows (rid, kind, start, end, value), by kind the leftmost matches that don't overlap."""
+def matched(texts: DataFrame) -> DataFrame:
+    """The texts (rid, text) that hold personal data, with all matches of the patterns, sound or not, as `m`: one scan, no shuffle."""
     some = texts.where(F.contains("text", F.lit("@")) | F.rlike("text", F.lit("[0-9]")))
-    found = some.select("rid", F.explode(F.concat(*[_found(F.col("text"), k, PATTERNS[name]) for k, name in enumerate(KINDS[:4])])).alias("m")).select("rid", "m.*")
-    return _placed(found).where(_valid(F.col("kind"), F.col("value"))).select("rid", "kind", "start", "end", "value")
+    found = F.concat(*[_found(F.col("text"), k, PATTERNS[name]) for k, name in enumerate(KINDS[:4])])
+    return some.select("rid", "text", found.alias("m")).where(F.exists("m", lambda x: _valid(x["kind"], x["value"])))
 
 
-def disclosing_terms(texts: DataFrame, spans: DataFrame, least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+def entity_spans(found: DataFrame) -> DataFrame:
+    """Personal data in the texts of matched(): rows (rid, kind, start, end, value), by kind the leftmost matches that don't overlap."""
+    placed = _placed(found.select("rid", F.explode("m").alias("m")).select("rid", "m.*"))
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select("rid", "kind", "start", "end", "value")
+
+
+def disclosing_terms(texts: DataFrame, found: DataFrame, spans: DataFrame, least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(entity, term) pairs in which the term reveals too much of the entity, and the texts (rid, entity, text) that hold entities.
 
     An entity is a value found, in lower case or its digits. A term reveals log2 p(e, t) / (p(e) p(t)) of the -log2 p(e) bits that the
@@ -73,7 +79,7 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, least_texts: int = LEAS
     """
     name = F.concat(F.col("kind").cast("string"), F.lit(":"), F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == 1, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", "")))
     entities = save(spans.select("rid", name.alias("entity")).distinct())
-    holders = save(entities.groupBy("rid").agg(F.collect_set("entity").alias("entities")).join(texts, "rid").withColumn("mark", F.xxhash64("text")))
+    holders = save(entities.groupBy("rid").agg(F.collect_set("entity").alias("entities")).join(found.select("rid", "text"), "rid").withColumn("mark", F.xxhash64("text")))
     often = holders.select(F.explode("entities").alias("entity"), "rid", "mark").groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
     words = _terms(holders.select("entities", "mark", "text"), "entities", "mark")
     pairs = words.select(F.explode("entities").alias("entity"), "mark", "term").join(often, "entity")
@@ -119,17 +125,17 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     """
     rows = row_ids(docs).select("rid", F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     texts = rows.where("text is not null").select("rid", "text")
-    base = save(entity_spans(texts))
-    pairs, holders = disclosing_terms(texts, base, least_texts, disclosure)
+    found = save(matched(texts))
+    base = save(entity_spans(found))
+    pairs, holders = disclosing_terms(texts, found, base, least_texts, disclosure)
     spans = base.select("rid", "kind", "start", "end").unionByName(term_spans(holders, pairs))
     per_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
     out = rows.select("rid", "doc_id").join(per_row, "rid", "left")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
-    found = F.coalesce("found", none)
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     base_only = F.filter("found", lambda s: s["kind"] < len(KINDS) - 1)
-    return out.withColumn("found", found).select("rid", "doc_id", *counts, F.sha2(_joined(base_only), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
+    return out.withColumn("found", F.coalesce("found", none)).select("rid", "doc_id", *counts, F.sha2(_joined(base_only), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), "found")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
