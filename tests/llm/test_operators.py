@@ -148,7 +148,7 @@ def test_passages(messy, empty, repeated):
     for r in found:
         p, q = low[r.doc_id][r.start_a : r.end_a], low[r.other_id][r.start_b : r.end_b]
         if r.shared is None:
-            assert p == q == low[r.doc_id]
+            assert p == q == low[r.doc_id] and r.end_a is None
         else:
             a, b = brute.shingles(" ".join(p)), brute.shingles(" ".join(q))
             assert (len(a & b), len(a | b)) == (r.shared, r.total) and 4 * r.shared >= 3 * r.total and max(len(p), len(q)) >= 50
