@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import U64, discard, mix, row_ids, save, shingles, text_buffers
+from cuesmith.llm.common import U64, discard, mix, row_ids, save, shingles, small_batches, text_buffers
 from cuesmith.llm.graph import components
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Other columns aren't read. docs must be a plain scan, or have row numbers in column `rid`.
     """
     rows = docs if rid else row_ids(docs)
-    texts = rows.select(F.col(rid or "rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = small_batches(rows).select(F.col(rid or "rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = save(texts.mapInArrow(_describe, DOC))
     splits = texts.rdd.getNumPartitions()
     buckets = max(16, 2 * splits)

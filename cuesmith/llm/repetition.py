@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import BYTE, SPACE, U64, mix, span_hashes, steps, text_buffers, window_hashes, words_of
+from cuesmith.llm.common import BYTE, SPACE, U64, mix, small_batches, span_hashes, steps, text_buffers, window_hashes, words_of
 
 #: n-gram length in words: the largest share of the word characters that repeated n-grams (first ones not counted) may cover.
 NGRAM_LIMITS: Mapping[int, float] = {5: 0.30, 6: 0.28, 8: 0.25, 10: 0.22}
@@ -130,7 +130,7 @@ def repetition_report(docs: DataFrame, text: str = "text", out: str = "repetitio
                 struct = pa.StructArray.from_arrays([pa.array(found[k]) for k in names], names)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, struct], [*batch.schema.names, out])
 
-    return docs.mapInArrow(report, schema)
+    return small_batches(docs).mapInArrow(report, schema)
 
 
 def keep_unrepetitive(docs: DataFrame, text: str = "text") -> DataFrame:
