@@ -93,6 +93,19 @@ def op8_size_aware_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).drop("rid")
 
 
+ORACLE["op8_size_aware_jaccard"] = r"""
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (shingle) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from shared join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+reach(a, b) as (select doc_id, doc_id from documents union select a, y from reach join links on b = x)
+select doc_id, coalesce(n, 0) as n_shingles, component_id
+from (select a as doc_id, min(b) as component_id from reach group by a) left join n using (doc_id)
+"""
+
+
 @query
 def op6_interval_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir)).drop("rid")
