@@ -18,12 +18,12 @@ from cuesmith.llm.jaccard import planes, unplanes
 #: Bytes of an anchor's gram.
 GRAM = 20
 #: Places of one anchor that a task sorts; anchors with more are dealt out in shares.
-GROUP = 4096
+GROUP = 1 << 15
 GATHERED = 1 << 18
 
 ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at")]])
-SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("hot", T.BooleanType())])
-CONTEXTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("claim", T.LongType())])
+SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())])
+CONTEXTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("claim", T.LongType()), T.StructField("n", T.LongType())])
 RUNS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
 HOT = T.StructType([*RUNS.fields, T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("known", T.BooleanType())])
 REPEATS = T.StructType([T.StructField("length", T.LongType()), T.StructField("n", T.LongType()), T.StructField("places", T.ArrayType(T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType())])))])
@@ -119,8 +119,8 @@ def _find_anchors(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -
         yield out()
 
 
-def _share(group: pa.Table, most: int) -> pa.Table:
-    """Places whose anchor is found elsewhere, too; hot: at more than `most` places."""
+def _share(group: pa.Table) -> pa.Table:
+    """Places whose anchor is found elsewhere, too, with the number of its places."""
     column = lambda c, kind: np.concatenate([unplanes(b, kind) for b in group.column(c).to_pylist()])
     key, rid, at = column("key", "<u8"), column("rid", "<i8"), column("at", "<i4").astype(np.int64)
     order = np.lexsort((at, rid, key))
@@ -131,13 +131,13 @@ def _share(group: pa.Table, most: int) -> pa.Table:
     size = np.diff(np.append(first, len(key)))
     n = np.repeat(size, size)
     keep = n > 1
-    return pa.table({"rid": rid[keep], "at": at[keep], "anchor": key[keep].view(np.int64), "hot": n[keep] > most})
+    return pa.table({"rid": rid[keep], "at": at[keep], "anchor": key[keep].view(np.int64), "n": n[keep]})
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The bytes around each place: so many before and from it as a repeated string that holds the anchor can reach; claim: how many
     bytes before it a string may begin that holds none of the text's earlier places."""
-    kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()]
+    kinds = [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 2
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], CONTEXTS.names)
@@ -149,7 +149,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             text, last = data[offsets[i] : offsets[i + 1]].tobytes(), -1
             for p in sorted(places, key=lambda p: p["at"]):
                 at = p["at"]
-                rows.append((p["anchor"], rid, at, text[max(0, at - least + GRAM) : at][::-1], text[at : at + least], at - last - 1))
+                rows.append((p["anchor"], rid, at, text[max(0, at - least + GRAM) : at][::-1], text[at : at + least], at - last - 1, p["n"]))
                 last = at
             if len(rows) >= 1 << 14:
                 yield out(rows)
@@ -320,14 +320,10 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return row_ids(small_batches(docs)).select("rid", F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
 
-def _shared(texts: DataFrame, least: int, group: int) -> DataFrame:
+def _shared(texts: DataFrame, least: int) -> DataFrame:
     buckets = max(16, 2 * texts.rdd.getNumPartitions())
-
-    def share(table: pa.Table) -> pa.Table:
-        return _share(table, group)
-
     found = texts.select("rid", "text").mapInArrow(partial(_find_anchors, buckets=buckets, least=least), ANCHORS)
-    return found.groupBy("bucket").applyInArrow(share, SHARED)
+    return found.groupBy("bucket").applyInArrow(_share, SHARED)
 
 
 def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text", with_text: bool = False, group: int = GROUP) -> DataFrame:
@@ -352,14 +348,14 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     known_copies = known.where(f"n_bytes >= {least}").join(copies.where("n > 1"), "sha").select("rid", (F.col("rid") != F.col("first")).alias("extra"))
     copies = save(known_copies)
 
-    shared = save(_shared(texts, least, group))
-    places = shared.join(copies.where("extra"), "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))
+    shared = save(_shared(texts, least))
+    places = shared.join(copies.where("extra"), "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("places"))
     kept = save(texts.select("rid", "text").join(places, "rid"))
 
     def cover(table: pa.Table) -> pa.Table:
         return _cover(table, least)
 
-    of = lambda hot: kept.withColumn("places", F.filter("places", lambda p: p["hot"] == hot)).where("size(places) > 0")
+    of = lambda hot: kept.withColumn("places", F.filter("places", lambda p: (p["n"] > group) == hot)).where("size(places) > 0")
     around = of(False).mapInArrow(partial(_contexts, least=least), CONTEXTS)
     buckets = max(16, 2 * texts.rdd.getNumPartitions())
     runs = around.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(cover, RUNS)
@@ -369,8 +365,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
         def cover_hot(table: pa.Table) -> pa.Table:
             return _cover_hot(table, least)
 
-        counts = shared.where("hot").groupBy("anchor").agg(F.count("*").alias("n"))
-        places = hot.mapInArrow(partial(_contexts, least=least), CONTEXTS).join(counts, "anchor")
+        places = hot.mapInArrow(partial(_contexts, least=least), CONTEXTS)
         share = F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / group))
         strings = save(places.groupBy("anchor", share.alias("share")).applyInArrow(cover_hot, HOT))
         of_strings = strings.where("h1 is not null")
@@ -400,8 +395,8 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
     aren't in it (remove_repeats covers them).
     """
     texts = _texts(docs, id_col, text)
-    shared = save(_shared(texts, least, group))
-    places = shared.where("not hot").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("places"))
+    shared = save(_shared(texts, least))
+    places = shared.where(F.col("n") <= group).groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("places"))
 
     def groups(table: pa.Table) -> pa.Table:
         anchor, rid, at, _, left, right = _ordered(table)
