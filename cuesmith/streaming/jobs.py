@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuesmith.operators.segments import EVENTS, Endpoint, Params
+from cuesmith.operators.updates import HISTORY, TAIL_TOKENS
 from cuesmith.sources.sinks import append_dataset
 
 
@@ -99,3 +101,80 @@ def sink_commits(updates: DataFrame, path: str, checkpoint: str):
         append_dataset(batch.dropDuplicates(["session_id", "seg_idx"]), f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def _alike(rows: list) -> int:
+    """Length of the common beginning of sequences."""
+    return next((i for i, column in enumerate(zip(*rows, strict=False)) if len(set(column)) > 1), min(map(len, rows)))
+
+
+STABLE_MARK = re.compile(r"[\s\S]*(?:[，。！？；]|(?<![A-Za-z0-9])[,.!?;]|[,.!?;](?![A-Za-z0-9]))")
+
+
+class StablePrefixProcessor(_Pickled):
+    """The stable part of each update's text; keeps the last snapshots of the running revision epoch."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (history, count), out = self.load(([], 0)), []
+        for u in pd.concat(list(rows)).sort_values("sequence").itertuples():
+            if u.final_result:
+                out.append((key[0], u.sequence, u.text, ""))
+                continue
+            if u.revision or u.revision_count > count:
+                history = []
+            count = u.revision_count
+            history = [*history, (list(u.tokens), u.text)][-HISTORY:]
+            stable = u.text[: u.committed_prefix_chars]
+            if len(history) == HISTORY:
+                tokens = min(_alike([t for t, _ in history]), max(len(u.tokens) - TAIL_TOKENS, 0))
+                chars = min(len("".join(u.tokens[:tokens])), _alike([t for _, t in history]))
+                found = STABLE_MARK.match(u.text[:chars])
+                stable = max(found.group() if found else "", stable, key=len)
+            out.append((key[0], u.sequence, stable, u.text[len(stable) :]))
+        self.keep((history, count))
+        yield pd.DataFrame(out, columns=["session_id", "sequence", "stable", "unstable"])
+
+
+def stable_prefix_stream(updates: DataFrame) -> DataFrame:
+    """stable_prefix() over a stream of updates with revision and revision_count."""
+    schema = "session_id string, sequence int, stable string, unstable string"
+    return updates.groupBy("session_id").transformWithStateInPandas(StablePrefixProcessor(), schema, "Append", "None")
+
+
+class SessionProcessor(_Pickled):
+    """Partials, committed segments and the final of a session as numbered updates of its whole transcript."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = {"text": "", "tokens": [], "confidence": 0.0, "segments": 0, "last": "", "revisions": 0, "sequence": 0, "done": False}
+        s, out = self.load(fresh), []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if s["done"]:
+                continue
+            text, tokens = s["text"], s["tokens"]
+            if r.kind == "partial":
+                if not r.text:
+                    continue
+                text, tokens = text + r.text, [*tokens, *r.tokens]
+            elif r.kind == "segment":
+                text, tokens = text + r.text, [*tokens, *r.tokens]
+                s |= {"text": text, "tokens": tokens, "confidence": s["confidence"] + r.confidence, "segments": s["segments"] + 1}
+            final = r.kind == "final"
+            if not final and r.kind != "segment" and text == s["last"]:
+                continue
+            revised = bool(s["last"]) and bool(text) and not text.startswith(s["last"])
+            confidence = s["confidence"] / s["segments"] if s["segments"] else (0.0 if final else float(r.confidence))
+            s |= {"revisions": s["revisions"] + revised, "sequence": s["sequence"] + 1, "done": final}
+            out.append((key[0], s["sequence"], text, list(tokens), len(s["text"]), revised, s["revisions"], confidence, final))
+            s["last"] = text or s["last"]
+        self.keep(s)
+        yield pd.DataFrame(out, columns=SESSION_UPDATES)
+
+
+SESSION_UPDATES = ["session_id", "sequence", "text", "tokens", "committed_prefix_chars", "revision", "revision_count", "confidence", "final_result"]
+
+
+def session_updates(rows: DataFrame) -> DataFrame:
+    """Updates of sessions from rows (session_id, seq, kind in partial, segment, final; text, tokens, confidence): a commit is always sent,
+    a partial only when the text changes, and one final at the end. State is the committed transcript."""
+    schema = "session_id string, sequence int, text string, tokens array<string>, committed_prefix_chars int, revision boolean, revision_count int, confidence double, final_result boolean"
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionProcessor(), schema, "Append", "None")

@@ -68,3 +68,31 @@ def test_idle(spark):
     got = jobs.idle_sessions(events, 30).orderBy("idle_at").collect()
     assert [(str(r.idle_at), r.events) for r in got] == [("2025-01-01 00:00:35", 2), ("2025-01-01 00:01:30", 1)]
     assert jobs.idle_sessions(events, 0).count() == 0
+
+
+def test_stable_prefix(spark, tmp_path):
+    from cuesmith.operators import updates as U
+
+    full = list("今天天气很好，我们去公园。然后回家吃饭，再看电影吧朋友们大家好")
+    rows = []
+    for s in ("x", "y"):
+        for i in range(14):
+            tokens = full[: 8 + 2 * i] if s == "x" or i != 6 else ["改", *full[1:20]]
+            rows.append((i, s, i, tokens, "".join(tokens), 2, i == 13))
+    df = spark.createDataFrame(rows, "n long, session_id string, sequence int, tokens array<string>, text string, committed_prefix_chars int, final_result boolean")
+    marked = U.mark_revisions(df).drop("new_sequence")
+    batch = U.stable_prefix(marked).select("session_id", "sequence", "stable", "unstable")
+    live = drain(jobs.stable_prefix_stream(stream(spark, marked, str(tmp_path / "in"), 3)), spark, "live_stable", tmp_path)
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_session_updates(spark, tmp_path):
+    rows = [
+        (0, "s", 0, "partial", "fir", ["fir"], 0.5), (1, "s", 1, "partial", "fir", ["fir"], 0.5), (2, "s", 2, "segment", "first.", ["first."], 0.8),
+        (3, "s", 3, "partial", "", [], 0.1), (4, "s", 4, "partial", "sek", ["sek"], 0.5), (5, "s", 5, "segment", "second.", ["second", "."], 0.6),
+        (6, "s", 6, "final", "", [], 0.0), (7, "s", 7, "partial", "late", ["late"], 0.0),
+    ]
+    df = spark.createDataFrame(rows, "n long, session_id string, seq long, kind string, text string, tokens array<string>, confidence double")
+    live = drain(jobs.session_updates(stream(spark, df, str(tmp_path / "in"), 3)), spark, "live_updates", tmp_path)
+    got = [(r.text, r.committed_prefix_chars, r.revision, round(r.confidence, 3), r.final_result) for r in live.orderBy("sequence").collect()]
+    assert got == [("fir", 0, False, 0.5, False), ("first.", 6, False, 0.8, False), ("first.sek", 6, False, 0.8, False), ("first.second.", 13, True, 0.7, False), ("first.second.", 13, False, 0.7, True)]
