@@ -40,6 +40,11 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def zh_digits(text: Column) -> Column:
     """Spoken digits one by one as ASCII digits; other characters stay."""
     flat = _by_char(ZH_DIGITS)
@@ -77,31 +82,43 @@ def grouped(value: Column) -> Column:
 
 def zh_cardinal(text: Column) -> Column:
     """A Chinese numeral in digits: grouped by thousands from 10,000 on; a single 万 or 亿 at the end stays as the unit; else the text."""
-    tail = F.right(text, F.lit(1))
-    once = tail.rlike(f"^[{ZH_TAILS}]$") & (F.length(text) - F.length(F.replace(text, tail, F.lit(""))) == 1)
-    head = F.left(text, F.length(text) - 1)
-    coefficient = zh_value(F.when(head == "", F.lit("一")).otherwise(head))
-    short = F.when(F.abs(coefficient) >= 1_000, grouped(coefficient)).otherwise(coefficient.cast("string"))
-    value = zh_value(text)
-    whole = F.when(F.abs(value) < 10_000, value.cast("string")).otherwise(grouped(value))
-    return F.when(once & coefficient.isNotNull(), F.concat(short, tail)).otherwise(F.coalesce(whole, text))
+
+    def parts(t: Column) -> Column:
+        tail, head = F.right(t, F.lit(1)), F.left(t, F.length(t) - 1)
+        once = tail.rlike(f"^[{ZH_TAILS}]$") & (F.length(t) - F.length(F.replace(t, tail, F.lit(""))) == 1)
+        coefficient = zh_value(F.when(once, F.when(head == "", F.lit("一")).otherwise(head)))
+        return F.struct(t.alias("text"), tail.alias("tail"), coefficient.alias("coefficient"), zh_value(t).alias("value"))
+
+    def render(p: Column) -> Column:
+        short = F.when(F.abs(p["coefficient"]) >= 1_000, grouped(p["coefficient"])).otherwise(p["coefficient"].cast("string"))
+        whole = F.when(F.abs(p["value"]) < 10_000, p["value"].cast("string")).otherwise(grouped(p["value"]))
+        return F.when(p["coefficient"].isNotNull(), F.concat(short, p["tail"])).otherwise(F.coalesce(whole, p["text"]))
+
+    return bind(bind(text, parts), render)
 
 
 def zh_time(text: Column) -> Column:
     """A spoken clock time as H:MM; the hour alone keeps its mark; what isn't a time stays."""
-    hour_text, mark = F.regexp_extract(text, "^([^点时]+)([点时])", 1), F.regexp_extract(text, "^([^点时]+)([点时])", 2)
-    rest = F.regexp_extract(text, r"^[^点时]+[点时]([\s\S]*)$", 1)
-    hour = zh_cardinal(hour_text)
-    unit = rest.rlike("[钟分]$")
-    minute_text = F.regexp_replace(rest, "[钟分]$", "")
-    minute = F.when(minute_text == "半", 30).when(minute_text == "一刻", 15).when(minute_text == "三刻", 45).otherwise(zh_value(minute_text))
-    bare_zero = minute_text.isin("零", "〇", "洞") & ~unit
-    return (
-        F.when((mark == "") | ~hour.rlike("^[0-9,]+$"), text)
-        .when(rest.isin("", "整"), F.concat(hour, mark))
-        .when(bare_zero | minute.isNull(), text)
-        .otherwise(F.concat(hour, F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
-    )
+    split = r"^([^点时]+)([点时])([\s\S]*)$"
+
+    def parts(t: Column) -> Column:
+        return F.struct(t.alias("text"), *[F.regexp_extract(t, split, i).alias(n) for i, n in enumerate(("hour", "mark", "rest"), 1)])
+
+    def values(p: Column) -> Column:
+        spoken = F.regexp_replace(p["rest"], "[钟分]$", "")
+        minute = F.when(spoken == "半", 30).when(spoken == "一刻", 15).when(spoken == "三刻", 45).otherwise(zh_value(spoken))
+        bare_zero = spoken.isin("零", "〇", "洞") & (spoken == p["rest"])
+        return F.struct(p["text"].alias("text"), p["mark"].alias("mark"), p["rest"].alias("rest"), zh_cardinal(p["hour"]).alias("hour"), F.when(~bare_zero, minute).alias("minute"))
+
+    def render(p: Column) -> Column:
+        return (
+            F.when((p["mark"] == "") | ~p["hour"].rlike("^[0-9,]+$"), p["text"])
+            .when(p["rest"].isin("", "整"), F.concat(p["hour"], p["mark"]))
+            .when(p["minute"].isNull(), p["text"])
+            .otherwise(F.concat(p["hour"], F.lit(":"), F.lpad(p["minute"].cast("string"), 2, "0")))
+        )
+
+    return bind(bind(bind(text, parts), values), render)
 
 
 def en_cardinal(words: Column) -> Column:

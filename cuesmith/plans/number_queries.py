@@ -39,7 +39,8 @@ def zh_cardinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     high, low = F.col("l_orderkey") % 9999, F.col("l_partkey") % 9998 + 1
     spoken = F.concat(F.when(high > 0, F.concat(_spelled(high), F.lit("万"), F.when(low < 1000, "零").otherwise(""))).otherwise(""), _spelled(low))
-    return lines.select("l_orderkey", "l_linenumber", N.zh_cardinal(spoken).alias("cardinal"), N.zh_value(spoken).alias("value"))
+    said = lines.select("l_orderkey", "l_linenumber", spoken.alias("spoken"))
+    return said.select("l_orderkey", "l_linenumber", N.zh_cardinal(F.col("spoken")).alias("cardinal"), N.zh_value(F.col("spoken")).alias("value"))
 
 
 @query("""
@@ -52,7 +53,8 @@ def zh_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, m = F.col("o_orderkey") % 24, F.col("o_custkey") % 60
     say = lambda n: F.when(n == 0, "零").otherwise(_spelled(n))
     minute = F.when(m == 0, "整").when(m == 30, "半").when(m == 15, "一刻").when(m == 45, "三刻").otherwise(F.concat(_spelled(m), F.lit("分")))
-    return orders.select("o_orderkey", N.zh_time(F.concat(say(h), F.lit("点"), minute)).alias("clock"))
+    said = orders.select("o_orderkey", F.concat(say(h), F.lit("点"), minute).alias("spoken"))
+    return said.select("o_orderkey", N.zh_time(F.col("spoken")).alias("clock"))
 
 
 def _english(n):
