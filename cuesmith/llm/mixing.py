@@ -68,7 +68,7 @@ def schedule(plan: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     rest = want % F.col("source_size")  # words of the last, partial reading
     sources = sources.withColumns({"blocks": blocks, "rest": rest, "need": F.floor(want / F.col("source_size")) * blocks + F.ceil(rest / block)})
     cells = sources.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("long")))))
-    points = spark.range(2 * (total // block) + 64).select(F.col("id").alias("slot"), ((F.col("id") * GOLDEN) % UNIT / UNIT).alias("u"))
+    points = spark.range(2 * (total // block) + 64).select(F.col("id").alias("slot"), (F.col("id") % UNIT * GOLDEN % UNIT / UNIT).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = points.join(cells, "cell").where("u >= low and u < high").select("slot", "source", "need", "blocks", "rest", F.expr(f"slot div {CHUNK}").alias("run"))
     return _ranked(slots)
