@@ -119,3 +119,45 @@ def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_spans(documents(spark, sf_dir)).drop("rid", "found")
+
+
+def _placed_sql(name: str, source: str) -> str:
+    """Matches v with the gaps before them, numbered within (doc_id, kind), as spans [s, e)."""
+    return f"""
+{name}_m as (select doc_id, kind, unnest(v) as v, unnest(g[1 : len(v)]) as gap, generate_subscripts(v, 1) as i from {source} where len(v) > 0),
+{name} as (select doc_id, kind, v, s, s + length(v) as e, regexp_replace(v, '[^0-9]', '', 'g') as d
+  from (select *, (coalesce(sum(length(gap) + length(v)) over (partition by doc_id, kind order by i rows between unbounded preceding and 1 preceding), 0) + length(gap))::bigint as s from {name}_m))"""
+
+
+_PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
+_FOUND = " union all ".join(f"select doc_id, {k} as kind, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as g from docs" for k, p in enumerate(_PATTERNS))
+_NAMES = "(case kind " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(private.KINDS)) + " end)"
+
+ORACLE["op7_disclosing_terms"] = rf"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+found as ({_FOUND}),
+{_placed_sql("placed", "found")},
+base as (select * from placed where case kind when 0 then true
+  when 1 then list_max(list_transform(string_split(v, '.'), lambda x: x::hugeint)) <= 255
+  when 2 then length(d) between 13 and 19 and list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 1 then 2 * d[length(d) - i]::int // 10 + 2 * d[length(d) - i]::int % 10 else d[length(d) - i]::int end)) % 10 = 0
+  else length(d) between 9 and 15 end),
+ent as (select distinct doc_id, kind || ':' || (case kind when 0 then lower(v) when 1 then v else d end) as entity from base),
+often as (select entity, count(*) as n_entity from ent join docs using (doc_id) group by entity having count(distinct text) >= {private.LEAST_TEXTS}),
+terms as (select * from (select doc_id, text, unnest(list_distinct(regexp_split_to_array(lower(text), '\P{{L}}+'))) as term from docs) where length(term) >= {private.LEAST_LETTERS}),
+pairs as (select entity, term, count(*) as n_both, any_value(n_entity) as n_entity from ent join often using (entity) join terms using (doc_id) group by entity, term having count(distinct text) >= {private.LEAST_TEXTS}),
+counts as (select term, count(*) as n_term from terms group by term),
+told as (select entity, term from pairs join counts using (term) where n_both / n_term >= pow(n_entity / (select count(text) from documents), {1.0 - private.DISCLOSURE})),
+per as (select distinct doc_id, term from ent join told using (entity)),
+words as (select doc_id, 4 as kind, regexp_extract_all(text, '\p{{L}}+') as v, regexp_split_to_array(text, '\p{{L}}+') as g from docs where doc_id in (select doc_id from per)),
+{_placed_sql("word", "words")},
+spans as (select doc_id, kind, s, e from base union all select word.doc_id, kind, s, e from word join per on word.doc_id = per.doc_id and lower(v) = term)
+select docs.doc_id, {", ".join(f"count(*) filter (kind = {k}) as n_{n}" for k, n in enumerate(private.KINDS[:4]))},
+       sha256(coalesce(string_agg({_NAMES} || ':' || s || ':' || e, ',' order by kind, s) filter (kind < 4), '')) as base_sha256,
+       coalesce(string_agg({_NAMES} || ':' || s || ':' || e, ',' order by kind, s), '') as spans
+from docs left join spans using (doc_id) group by docs.doc_id
+"""

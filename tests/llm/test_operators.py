@@ -501,3 +501,20 @@ def test_n_words(spark):
     texts = messy_texts() + ["a", " a", "a ", "a\x1cb c", "\x0b\x0c"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r.n for r in df.select("i", mixing.n_words(F.col("text")).alias("n")).orderBy("i").collect()] == [len(brute.WORD.findall(t or "")) for t in texts]
+
+
+def test_private_sql(spark, tmp_path):
+    """The registered SQL against the query, with terms that reveal entities."""
+    import duckdb
+
+    rng = random.Random(9)
+    texts = [f"{words(rng, 15)} Zanzibar Éclair {i} for ann@example.com {words(rng, 5)} zanzibar" for i in range(6)]
+    texts += [f"{words(rng, 15)} the report of {i}" for i in range(30)] + ["Zanzibar is an island", "+49 89 1234567 ann@example.com"] + [t for t in SAMPLES if t is None or len(t) < 5000]
+    frame(spark, texts).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op7_disclosing_terms"](spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = connection.execute(queries.ORACLE["op7_disclosing_terms"])
+    names = [c[0] for c in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == want and any("term:" in r[-1] for r in want)
