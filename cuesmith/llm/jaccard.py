@@ -24,8 +24,12 @@ LONG = 8
 PARITY = 16
 #: Most common shingles, the most frequent ones, that tasks are told of; it bears on speed only.
 MOST_COMMON = 1 << 20
-#: A longer list is dealt out into sublists of about this many documents.
+#: A longer list (a hot one) is dealt out into sublists of about this many documents.
 SUBLIST = 4096
+#: Added to the places of entries that are in sublists.
+DEALT = 1 << 30
+#: Rows of a hot list's share that are compared with another share at once.
+ROWS = 256
 #: Shingles that a task gathers before it sends them on.
 GATHERED = 1 << 22
 #: Largest size that the boundary between small and large sets may take.
@@ -34,7 +38,7 @@ MOST_SMALL = 64
 DOC = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))])
 BLOB = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("tag", "rid", "n", "at")]])
 COUNT = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hits", T.LongType())])
-PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("bucket", "tag", "n", "at")]])
+PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("bucket", "tag", "n", "at", "before")]])
 LINK = T.StructType(PAIR.fields[:2])
 
 
@@ -141,12 +145,29 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return best
 
 
-def _postings(batches: Iterator[pa.RecordBatch], buckets: int, small: int, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], buckets: int, small: int, common: np.ndarray, counts: np.ndarray, sublist: int) -> Iterator[pa.RecordBatch]:
     """List entries of each different set: for large sets, and small ones that may link to them, its rarest shingles; for small sets
-    also all pairs of them. tag: 32 bits of the key, beside the bucket; at: the shingle's place in the set's order (pairs: none)."""
+    also all pairs of them. tag: 32 bits of the key, beside the bucket; at: the shingle's place in the set's order (pairs: none).
+    Entries of hot lists also go whole, dealt by row to buckets below 0, with the 64-bit shingle and the one before it in the order as tag."""
     waiting: list[tuple[np.ndarray, ...]] = []
+    hot: list[tuple[np.ndarray, ...]] = []
     n_waiting, seen = 0, _Seen()
 
+    def whole() -> Iterator[pa.RecordBatch]:
+        if not hot:
+            return
+        key, rid, n, at, before = (np.concatenate(c) for c in zip(*hot, strict=True))
+        hot.clear()
+        share = (mix(rid.astype(U64)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((rid, key, share))
+        share = share[order]
+        cut = np.searchsorted(share, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        key, before = key.astype("<u8")[order], before.astype("<u8")[order]
+        columns = [rid.astype("<i8")[order], n.astype("<u4")[order], at.astype("<i4")[order]]
+        tags = [planes(np.concatenate([key[cut[i] : cut[i + 1]], before[cut[i] : cut[i + 1]]])) for i in full]
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - full).astype(np.int32)), pa.array(tags, pa.binary()), *[pa.array([planes(c[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for c in columns]], BLOB.names)
+
     def out() -> pa.RecordBatch:
         key, rid, n, at = (np.concatenate(c) for c in zip(*waiting, strict=True))
         bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
@@ -178,12 +199,14 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int, small: int, commo
                 head, most = s[:p], place[:p]
                 keys.append((mix(head ^ U64(1)), at))
                 # a long list is dealt out twice, by different shares of the rows, so that its sublists overlap
-                long = np.flatnonzero(most > SUBLIST)
+                long = np.flatnonzero(most > sublist)
                 if len(long):
-                    parts = (most[long] // SUBLIST + 1).astype(U64)
+                    hot.append((head[long], np.full(len(long), rid), np.full(len(long), n), at[long], np.where(long > 0, head[long - 1], U64(0))))
+                    n_waiting += len(long)
+                    parts = (most[long] // sublist + 1).astype(U64)
                     for salt in (U64(3), U64(5)):
                         share = mix(np.array([rid], np.int64).astype(U64) ^ salt)[0] % parts
-                        keys.append((mix(mix(head[long] ^ salt) ^ share), at[long]))
+                        keys.append((mix(mix(head[long] ^ salt) ^ share), at[long] + DEALT))
                     keys[0] = (np.delete(keys[0][0], long), np.delete(at, long))
             if n <= small:
                 q = min(n, p + 1)
@@ -198,9 +221,11 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int, small: int, commo
                 n_waiting += len(key)
             if n_waiting >= GATHERED // 4:
                 yield out()
+                yield from whole()
                 waiting, n_waiting = [], 0
     if n_waiting:
         yield out()
+        yield from whole()
 
 
 def _may_link(n, m, i, j):
@@ -211,9 +236,14 @@ def _may_link(n, m, i, j):
 
 def _meet(group: pa.Table, small: int) -> pa.Table:
     """Pairs that meet in the lists of a bucket. Lists of up to LONG rows give all their pairs; of longer ones neighbours by size and
-    by two random orders, and their entries (b null), for the pairs that links between neighbours leave open."""
+    by two random orders, and their entries (b null), for the pairs that links between neighbours leave open. Of hot lists' sublists no
+    entries; those of the whole lists come from the buckets below 0, in bucket -1."""
+    if group.num_rows and group.column("bucket")[0].as_py() < 0:
+        return _whole_entries(group)
     column = lambda c, kind: np.concatenate([unplanes(b, kind) for b in group.column(c).to_pylist()])
     tag, rid, n, at = column("tag", "<u4").astype(np.int64), column("rid", "<i8"), column("n", "<u4").astype(np.int64), column("at", "<i4").astype(np.int64)
+    dealt = at >= DEALT
+    at[dealt] -= DEALT
     kind = (at < 0).astype(np.int64)
     tag = tag * 2 + kind
 
@@ -222,12 +252,12 @@ def _meet(group: pa.Table, small: int) -> pa.Table:
         return tag[order], rid[order], n[order], at[order]
 
     order = np.lexsort((rid, n, tag))
-    tag, rid, n, at = tag[order], rid[order], n[order], at[order]
+    tag, rid, n, at, dealt = tag[order], rid[order], n[order], at[order], dealt[order]
     first = np.flatnonzero(np.append(True, tag[1:] != tag[:-1])) if len(tag) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(tag)))
     keep = np.repeat(size > 1, size)
     long = np.repeat(size > LONG, size)[keep]
-    tag, rid, n, at = tag[keep], rid[keep], n[keep], at[keep]
+    tag, rid, n, at, dealt = tag[keep], rid[keep], n[keep], at[keep], dealt[keep]
     found = []
 
     def pairs(t, r, k, i, d, where=None):
@@ -250,11 +280,22 @@ def _meet(group: pa.Table, small: int) -> pa.Table:
         pairs(*lists, 1)
         for salt in (U64(11), U64(13)):
             pairs(*ordered(mix(rid.astype(U64) ^ salt)), 1)
+    if dealt.any():
+        lists = tuple(c[~dealt[long]] for c in lists)
     both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     bucket = np.full(len(lists[0]), group.column("bucket")[0].as_py() if group.num_rows else 0)
     blank = pa.nulls(len(both), pa.int64())
-    entries = [pa.array(c) for c in (bucket, lists[0], lists[2], lists[3])]
-    return pa.table({"a": pa.concat_arrays([pa.array(both[:, 0]), pa.array(lists[1])]), "b": pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(bucket), pa.int64())])} | {c: pa.concat_arrays([blank, e]) for c, e in zip(("bucket", "tag", "n", "at"), entries, strict=True)})
+    entries = [*[pa.array(c) for c in (bucket, lists[0], lists[2], lists[3])], pa.nulls(len(bucket), pa.int64())]
+    return pa.table({"a": pa.concat_arrays([pa.array(both[:, 0]), pa.array(lists[1])]), "b": pa.concat_arrays([pa.array(both[:, 1]), pa.nulls(len(bucket), pa.int64())])} | {c: pa.concat_arrays([blank, e]) for c, e in zip(("bucket", "tag", "n", "at", "before"), entries, strict=True)})
+
+
+def _whole_entries(group: pa.Table) -> pa.Table:
+    """Hot lists' entries as rows: a, b null, bucket -1, tag the shingle, n, at, and the shingle before it (null: it is the first)."""
+    tags = [unplanes(b, "<i8") for b in group.column("tag").to_pylist()]
+    key, before = np.concatenate([t[: len(t) // 2] for t in tags]), np.concatenate([t[len(t) // 2 :] for t in tags])
+    rid, n, at = (np.concatenate([unplanes(b, kind) for b in group.column(c).to_pylist()]).astype(np.int64) for c, kind in (("rid", "<i8"), ("n", "<u4"), ("at", "<i4")))
+    columns = [pa.array(rid), pa.nulls(len(rid), pa.int64()), pa.array(np.full(len(rid), -1)), *map(pa.array, (key, n, at)), pa.array(before, mask=at == 0)]
+    return pa.Table.from_arrays(columns, PAIR.names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
        Small sets instead enumerate the pairs among one shingle more: partners share two of them. The boundary is the size at which the
        estimated work is least; a pair of a small and a large set meets in the lists.
     3. Pairs that pass size and position filters are verified on whole texts.
-    4. Long lists (hot shingles, groups of thousands of copies) first link neighbours in three orders; only entries of lists that then
-       still hold several components are paired across components, filtered by parity bitmaps, so no link between components is lost.
+    4. Long lists (hot shingles, groups of thousands of copies) first link neighbours in three orders, hot ones within sublists; only
+       entries of lists that then still hold several components are paired across components, hot lists whole, share by share, filtered
+       by parity bitmaps, so no link between components is lost.
 
     Equal sets are one class, found by a 128-bit sum; each task sends a set once. Null, empty or wordless text: n_shingles 0, its own
     component. Null doc_ids are passed over by the minimum; a component of only nulls is null. Repeated rows link with one another.
@@ -308,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     top = top.sort_values("key")
     common, counts = top["key"].to_numpy().astype(np.uint32), top["n"].to_numpy().astype(np.int64)
 
-    lists = texts.select("rid", "text").mapInArrow(partial(_postings, buckets=buckets, small=small, common=common, counts=counts), BLOB)
+    lists = texts.select("rid", "text").mapInArrow(partial(_postings, buckets=buckets, small=small, common=common, counts=counts, sublist=SUBLIST), BLOB)
 
     def meet(group: pa.Table) -> pa.Table:
         return _meet(group, small)
@@ -338,22 +380,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataFrame, small: int) -> DataFrame | None:
     """Pairs of classes in different components that share a long list and pass the filters; None where no list holds two components.
 
-    Beside size and position, sets' parity bitmaps must differ in no more bits than members may differ between sets that link, so that
+    Hot lists are joined share by share (_open_shares). Beside size and position, sets' parity bitmaps must differ in no more bits than members may differ between sets that link, so that
     hardly a pair comes through that doesn't.
     """
-    entries = met.where("b is null").select("bucket", "tag", F.col("a").alias("rid"), "n", "at")
+    entries = met.where("b is null").select("bucket", "tag", F.col("a").alias("rid"), "n", "at", "before")
     entries = entries.join(of, "rid").join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = entries.groupBy("bucket", "tag").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket", "tag")
-    entries = save(entries.join(mixed, ["bucket", "tag"]).select("bucket", "tag", "cls", "component", "n", "at").distinct().join(parity, "cls"))
+    mixed = entries.groupBy("bucket", "tag").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("before").alias("first"), F.max("before").alias("last"), F.count("before").alias("later"), F.count("*").alias("many"))
+    # where the same shingle comes before in all sets, they all meet in its list
+    mixed = mixed.where("lo < hi and not (later = many and first = last)").select("bucket", "tag", "many")
+    entries = save(entries.join(mixed, ["bucket", "tag"]).select("bucket", "tag", "many", "cls", "component", "n", "at", "before").distinct().join(parity, "cls"))
     if entries.isEmpty():
         return None
-    x, y = entries.alias("x"), entries.alias("y")
+    plain = entries.where("bucket >= 0")
+    x, y = plain.alias("x"), plain.alias("y")
     n, m, i, j = F.col("x.n"), F.col("y.n"), F.col("x.at"), F.col("y.at")
     fits = (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT) & ((i < 0) | ((F.least(n - i, m - j)) * (100 + PERCENT) >= (n + m) * PERCENT)) & ((i < 0) | (F.greatest(n, m) > small))
     differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, b: t + b)
     fits &= differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
     meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tag") == F.col("y.tag")) & (F.col("x.component") < F.col("y.component"))
-    return save(x.join(y, meet & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
+    found = x.join(y, meet & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    return save(found.unionByName(_open_shares(entries.where("bucket < 0"), small, SUBLIST)).distinct())
+
+
+def _open_shares(hot: DataFrame, small: int, sublist: int) -> DataFrame:
+    """The pairs of hot lists: each list's rows are dealt into shares of about `sublist`, and every two shares meet in a group of their own."""
+    hot = hot.withColumn("parts", F.expr(f"many div {sublist} + 1")).withColumn("share", F.pmod(F.xxhash64("cls"), "parts"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hot = hot.select("tag", F.least("share", "other").alias("x"), F.greatest("share", "other").alias("y"), "share", "cls", "component", "n", "at", "before", "parity")
+
+    def meet(group: pa.Table) -> pa.Table:
+        return _meet_shares(group, small)
+
+    return hot.groupBy("tag", "x", "y").applyInArrow(meet, LINK)
+
+
+def _meet_shares(group: pa.Table, small: int) -> pa.Table:
+    """Pairs of one share with another, or with itself, that pass the filters. Sets with the same shingle before this one in their
+    orders meet in that one's list, so they are passed over here."""
+    column = lambda c: group.column(c).to_numpy()
+    share, cls, component, n, at = (column(c) for c in ("share", "cls", "component", "n", "at"))
+    before, first = group.column("before").fill_null(0).to_numpy(), at == 0
+    parity = group.column("parity").combine_chunks()
+    parity = (parity.combine_chunks() if isinstance(parity, pa.ChunkedArray) else parity).flatten().to_numpy().view(U64).reshape(len(cls), PARITY)
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    order = np.argsort(n, kind="stable")
+    left, right = order[share[order] == x], order[share[order] == y]
+    found = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(left), ROWS):
+        i = left[k : k + ROWS]
+        # sizes that may link to these rows' are a run of the other share
+        lo = np.searchsorted(n[right] * 100, PERCENT * n[i[0]])
+        hi = np.searchsorted(n[right] * PERCENT, 100 * n[i[-1]], side="right")
+        j = right[lo:hi]
+        ok = component[i][:, None] != component[j][None, :]
+        ok &= (before[i][:, None] != before[j][None, :]) | first[i][:, None] | first[j][None, :]
+        if x == y:
+            ok &= cls[i][:, None] < cls[j][None, :]
+        p, q = np.nonzero(ok)
+        p, q = i[p], j[q]
+        fits = _may_link(n[p], n[q], at[p], at[q]) & (np.maximum(n[p], n[q]) > small)
+        p, q = p[fits], q[fits]
+        for c in range(0, len(p), 1 << 16):
+            a, b = p[c : c + (1 << 16)], q[c : c + (1 << 16)]
+            differ = np.bitwise_count(parity[a] ^ parity[b]).sum(axis=1, dtype=np.int64)
+            close = differ * (100 + PERCENT) <= (n[a] + n[b]) * (100 - PERCENT)
+            found.append(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], 1)[close])
+    both = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

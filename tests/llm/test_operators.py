@@ -1,6 +1,7 @@
 """The ten operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -376,6 +377,22 @@ def test_jaccard_hot_lists(spark, written, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
 
 
+def test_jaccard_isolated_pairs_of_hot_passages(spark, written, monkeypatch):
+    """Two documents each of any four of nine blocks, in other orders: pairs that nothing but hot shingles links, and no chain."""
+    monkeypatch.setattr(jaccard, "SUBLIST", 8)
+    rng = random.Random(31)
+    blocks = [words(rng, 60) for _ in range(9)]
+    texts = []
+    for chosen in itertools.combinations(range(9), 4):
+        for order in (chosen, chosen[::-1]):
+            texts.append(" ".join(blocks[k] for k in order))
+    rng.shuffle(texts)
+    df = written(frame(spark, texts), 4)
+    want = {i: c for (i, _), c in zip(pairs(df), brute.components(pairs(df)), strict=True)}
+    assert Counter(c for _, c in want.values()).most_common(1)[0][1] == 2 and len(set(want.values())) == len(texts) // 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+
+
 def test_boundary():
     assert jaccard.boundary({5: 1000, 40: 1000}, 50.0) >= 5 and jaccard.boundary({}, 1.0) == 0
 
