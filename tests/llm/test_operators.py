@@ -164,6 +164,17 @@ def test_passages(messy, empty, repeated):
     assert passages.near_duplicate_passages(repeated).count() > 0
 
 
+def test_passages_of_copies_in_other_letters(spark, written):
+    """Copies that differ in letter case, blanks or a last newline, all in one task, pair with one another and with a third text."""
+    rng = random.Random(41)
+    text = words(rng, 80)
+    texts = [text, text.upper(), text.replace(" ", "\n"), text + "\n", words(rng, 60) + " " + text, text]
+    found = passages.near_duplicate_passages(written(frame(spark, texts), 1)).collect()
+    whole = {frozenset((r.doc_id, r.other_id)) for r in found}
+    assert {frozenset(p) for p in itertools.combinations(range(5), 2)} <= {frozenset(0 if i == 5 else i for i in p) for p in whole} and frozenset((0, 5)) in whole
+    assert all(r.shared == r.total == 76 for r in found if r.shared is not None)
+
+
 # ---------------------------------------------------------------- 3 exact dedup
 
 
