@@ -55,8 +55,8 @@ def schedule(plan: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     need, blocks and rest are the source's: slots to its target, blocks in one reading, words of its last, partial reading.
 
     Point i * golden ratio, mod 1, lies in one source's interval of the cumulative weights; intervals are matched by equal cells. Twice
-    as many slots as the blocks of all words are laid out, and a source's slots beyond its target's last block are left out, so that the
-    small unevenness of the points can't keep a source from its target. Ranks count within runs of 65,536 slots and start from the runs'
+    as many slots as the blocks of all words are laid out, and a source's slots beyond its target's last block are left out. Where the
+    points give a source too few (its blocks are short ones, so it needs more than its share), its last places follow the schedule. Ranks count within runs of 65,536 slots and start from the runs'
     running sums, so no task ranks all slots of a hot source.
     """
     spark = plan.sparkSession
@@ -68,10 +68,21 @@ def schedule(plan: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     rest = want % F.col("source_size")  # words of the last, partial reading
     sources = sources.withColumns({"blocks": blocks, "rest": rest, "need": F.floor(want / F.col("source_size")) * blocks + F.ceil(rest / block)})
     cells = sources.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1).cast("long")))))
-    points = spark.range(2 * (total // block) + 64).select(F.col("id").alias("slot"), (F.col("id") % UNIT * GOLDEN % UNIT / UNIT).alias("u"))
+    n = 2 * (total // block) + 64
+    points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") % UNIT * GOLDEN % UNIT / UNIT).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
     slots = points.join(cells, "cell").where("u >= low and u < high").select("slot", "source", "need", "blocks", "rest", F.expr(f"slot div {CHUNK}").alias("run"))
-    return _ranked(slots)
+    return _ranked(slots).unionByName(_missing(sources, slots, n))
+
+
+def _missing(sources: DataFrame, slots: DataFrame, n: int) -> DataFrame:
+    """The places that the points leave empty, by source, from slot n on: a few of each source at most."""
+    have = slots.groupBy("source").agg(F.count("*").alias("have")).withColumnRenamed("source", "_s")
+    short = sources.join(have, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < need")
+    earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("from", F.lit(n) + F.coalesce(F.sum(F.col("need") - F.col("have")).over(earlier), F.lit(0)) - F.col("have"))
+    short = short.withColumn("place", F.explode(F.sequence("have", F.col("need") - 1)))
+    return short.select((F.col("from") + F.col("place")).alias("slot"), "source", "place", "need", "blocks", "rest")
 
 
 def _ranked(slots: DataFrame) -> DataFrame:

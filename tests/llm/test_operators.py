@@ -506,6 +506,24 @@ def test_mix(messy, empty, repeated, block):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_of_many_small_sources(spark, written):
+    """Sources of less than a block reach their targets beside a large one."""
+    rng = random.Random(43)
+    sources = [(f"s{k:03}", words(rng, rng.randrange(1, 100))) for k in range(200)] + [("t", words(rng, 300)) for _ in range(60)] + [(None, "a b c")]
+    df = written(spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(sources)], "doc_id long, text string, source string"), 2)
+    target, taken = {}, Counter()
+    for r in mixing.mix(df).collect():
+        target[r.source] = r.target
+        taken[r.source] += r.taken
+    assert len(target) == 202 and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    slots = mixing.schedule(mixing.targets(df.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size"))), 28000).collect()
+    places = defaultdict(list)
+    for r in slots:
+        places[r.source].append(r.place)
+    assert len({r.slot for r in slots}) == len(slots) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {r.source: r.need for r in slots} == {s: len(p) for s, p in places.items()}
+
+
 def test_apply_mix(messy, empty):
     taken = {r.doc_id: r.taken for r in mixing.mix(messy).collect()}
     mixed = mixing.apply_mix(messy)
