@@ -11,29 +11,38 @@ from cuesmith.llm.common import row_ids, save
 
 #: Bytes that the first level looks at, and how many times more each further level takes.
 FIRST_BYTES, WIDER = 128, 8
+#: Rows from which a group is hot, the most groups (the largest) that are sent to all tasks, and the most bytes that these may have together.
+HOT_ROWS, HOT_GROUPS, HOT_BYTES = 1024, 1024, 64 << 20
 
 
 def _split(rows: DataFrame, width: int) -> DataFrame:
     """One level: the rows' groups split by their next `width` bytes.
 
-    A group is named by the smallest row number in it, so names are exact. Counting combines on the map side; the rows then join their
-    group's one row, a join whose large side Spark may split where a group is hot.
+    A group is named by the smallest row number in it, so names are exact. Counting combines on the map side. Rows of the largest groups
+    get their group's row by broadcast, at most HOT_GROUPS rows of `width` bytes and never more than HOT_BYTES, and then join by numbers of
+    their own, so that they spread; all others join by group and bytes, a join whose large side Spark may split.
     """
     rows = rows.withColumn("chunk", F.expr(f"substring(rest, 1, {width})"))
     best = F.max(F.struct("doc_id", "rid"))
-    groups = rows.groupBy("grp", "chunk").agg(F.min("rid").alias("next"), F.count("*").alias("n"), best.alias("best"))
+    groups = save(rows.groupBy("grp", "chunk").agg(F.min("rid").alias("next"), F.count("*").alias("n"), best.alias("best")))
+    if HOT_GROUPS * width <= HOT_BYTES:
+        hot = groups.where(f"n >= {HOT_ROWS}").orderBy(F.col("n").desc(), "next").limit(HOT_GROUPS)
+        hot = hot.select("grp", "chunk", F.struct("next", "n", "best").alias("hot"))
+        rows = rows.join(F.broadcast(hot), ["grp", "chunk"], "left")
+        own = F.col("hot").isNotNull()
+        groups = groups.select(F.col("grp").alias("key"), F.col("chunk").alias("bytes"), F.struct("next", "n", "best").alias("cold"))
+        rows = rows.withColumn("key", F.when(own, -1 - F.col("rid")).otherwise(F.col("grp"))).withColumn("bytes", F.when(~own, F.col("chunk")))
+        rows = rows.join(groups, ["key", "bytes"], "left").withColumn("found", F.coalesce("hot", "cold")).select("rid", "doc_id", "sha", "chunk", "rest", "found.*")
+    else:
+        rows = rows.join(groups, ["grp", "chunk"])
     done = (F.col("n") == 1) | (F.octet_length("chunk") < width)
-    return (
-        rows.join(groups, ["grp", "chunk"])
-        .withColumn("rest", F.when(~done, F.expr(f"substring(rest, {width + 1})")))
-        .select("rid", "doc_id", "sha", F.col("next").alias("grp"), "n", "best", "rest")
-    )
+    return rows.withColumn("rest", F.when(~done, F.expr(f"substring(rest, {width + 1})"))).select("rid", "doc_id", "sha", F.col("next").alias("grp"), "n", "best", "rest")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
     """One row per row of docs: rid, doc_id, keep_id (the largest doc_id of its equal texts), group_size, kept, text_sha256.
 
-    No digest takes part in finding equal texts: level after level, groups split by their texts' next bytes (128, then 1024, 8192, ...),
+    A wide radix: no digest takes part in finding equal texts: level after level, groups split by their texts' next bytes (128, then 1024, 8192, ...),
     and only rows whose group is neither single nor ended go on, with what is left of their texts. Ended: the text has no byte beyond the
     level, so all rows of the group are equal. The number of levels grows with the logarithm of the longest repeated beginning.
     Null text counts as empty; all empty texts are equal. Of rows that repeat the largest doc_id too, the one that comes last stays;
