@@ -20,6 +20,8 @@ GRAM = 20
 #: Places of one anchor that a task sorts; anchors with more are dealt out in shares.
 GROUP = 1 << 15
 GATHERED = 1 << 18
+#: Bytes of contexts in a partition and in a group of small anchors, about; an anchor of more bytes is a group of its own.
+PARTITION, BUCKET = 32 << 20, 4 << 20
 
 ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at")]])
 SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())])
@@ -326,6 +328,17 @@ def _shared(texts: DataFrame, least: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(_share, SHARED)
 
 
+def _grouped(around: DataFrame, places: int, least: int):
+    """Contexts grouped for sorting: small anchors by buckets of about BUCKET bytes, each larger anchor alone, in partitions of about
+    PARTITION bytes, whatever the number of places."""
+    width = 2 * least - GRAM + 48
+    buckets = max(16, places * width // BUCKET)
+    small = F.col("n") * width < BUCKET // 4
+    around = around.withColumn("bucket", F.when(small, F.pmod(F.col("anchor"), F.lit(buckets))).otherwise(F.col("anchor"))).withColumn("alone", ~small)
+    parts = max(16, places * width // PARTITION)
+    return around.repartition(parts, "alone", "bucket").groupBy("alone", "bucket")
+
+
 def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text", with_text: bool = False, group: int = GROUP) -> DataFrame:
     """One row per row of docs: rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes: kept).
 
@@ -334,7 +347,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     1. Anchors: the smallest 20-byte gram of each `least`-byte string, by a rolling hash. All copies of a string hold the same anchor, so
        repeats can only lie around anchors found twice, about one place in ninety.
     2. Texts without such anchors are done. Of equal texts all are repeats of each other (if long enough), and one stands for them.
-    3. The bytes around the others' shared anchors go to groups by anchor. Each group's right sides are sorted into an enhanced suffix
+    3. The bytes around the others' shared anchors go to groups by anchor, as many groups and partitions as their bytes ask for. Each group's right sides are sorted into an enhanced suffix
        array whose interval tree, scanned with a stack, gives all maximal repeats with all their places (maximal_repeats).
     4. Places of an anchor that is found more than `group` times are dealt out in shares, each sorted alone; what repeats within a share
        is known then. Only strings that are still open are counted across shares, by 128-bit hashes with map-side sums.
@@ -357,8 +370,7 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
 
     of = lambda hot: kept.withColumn("places", F.filter("places", lambda p: (p["n"] > group) == hot)).where("size(places) > 0")
     around = of(False).mapInArrow(partial(_contexts, least=least), CONTEXTS)
-    buckets = max(16, 2 * texts.rdd.getNumPartitions())
-    runs = around.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(cover, RUNS)
+    runs = _grouped(around, shared.count(), least).applyInArrow(cover, RUNS)
     hot = of(True)
     if not hot.isEmpty():
 
@@ -407,5 +419,4 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.struct([("rid", pa.int64()), ("at", pa.int64())]))))], REPEATS.names)
 
     around = texts.select("rid", "text").join(places, "rid").mapInArrow(partial(_contexts, least=least), CONTEXTS)
-    buckets = max(16, 2 * texts.rdd.getNumPartitions())
-    return around.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).groupBy("bucket").applyInArrow(groups, REPEATS)
+    return _grouped(around, shared.count(), least).applyInArrow(groups, REPEATS)
