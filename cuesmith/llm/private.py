@@ -24,7 +24,7 @@ PATTERNS = {
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}+"
 #: Letters of a term, distinct texts that must hold entity and term, and the share of an entity's information that a term may reveal.
-LEAST_LETTERS, LEAST_TEXTS, DISCLOSURE = 4, 3, 0.9
+LEAST_LETTERS, LEAST_TEXTS, DISCLOSURE = 1, 3, 0.9
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -81,8 +81,10 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, spans: DataFrame, least
     entities = save(spans.select("rid", name.alias("entity")).distinct())
     holders = save(entities.groupBy("rid").agg(F.collect_set("entity").alias("entities")).join(found.select("rid", "text"), "rid").withColumn("mark", F.xxhash64("text")))
     often = holders.select(F.explode("entities").alias("entity"), "rid", "mark").groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
-    words = _terms(holders.select("entities", "mark", "text"), "entities", "mark")
-    pairs = words.select(F.explode("entities").alias("entity"), "mark", "term").join(often, "entity")
+    # only entities of enough texts meet their texts' terms
+    judged = entities.join(often, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("judged"))
+    words = _terms(holders.join(judged, "rid").select("judged", "mark", "text"), "judged", "mark")
+    pairs = words.select(F.inline("judged"), "mark", "term")
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("mark").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= least_texts)
     pairs = save(pairs)
     counts = _terms(texts).groupBy("term").agg(F.count("*").alias("n_term"))
