@@ -84,7 +84,10 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
             raise WarcError(f"{len(data) - at} stray bytes at {at}")
         magic = struct.unpack_from("<I", data, at)[0]
         if magic & 0xFFFFFFF0 == 0x184D2A50:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            stop = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if stop > len(data):
+                raise WarcError(f"the skippable frame at {at} is cut off")
+            at = stop
             continue
         if magic != FRAME:
             raise WarcError(f"no frame begins at {at}")
@@ -104,7 +107,10 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 def parse(content: bytes, at: int) -> tuple[dict[str, str], bytes]:
     """Fields (lower-case names) and block of the one record in a frame, with its version, needed fields and lengths checked."""
     head, sep, rest = content.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"the header at {at} isn't UTF-8: {e}") from e
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError(f"no WARC header at {at}")
     fields = {}
@@ -117,7 +123,7 @@ def parse(content: bytes, at: int) -> tuple[dict[str, str], bytes]:
         if name not in fields:
             raise WarcError(f"no {name} at {at}")
     size = fields["content-length"]
-    if not size.isdigit() or len(rest) != int(size) + 4 or rest[int(size) :] != b"\r\n\r\n":
+    if not (size.isascii() and size.isdigit()) or len(rest) != int(size) + 4 or rest[int(size) :] != b"\r\n\r\n":
         raise WarcError(f"content length {size} at {at}, but {len(rest) - 4} bytes")
     return fields, rest[: int(size)]
 
@@ -199,10 +205,11 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
                     if kind not in ("response", "revisit"):
                         continue
                     http, sep, body = block.partition(b"\r\n\r\n")
-                    lengths = [int(line[15:]) for line in http.split(b"\r\n") if line[:15].lower() == b"content-length:"]
+                    lengths = [line[15:].strip() for line in http.split(b"\r\n") if line[:15].lower() == b"content-length:"]
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if not sep or len(lengths) != 1:
+                    if not sep or len(lengths) != 1 or not lengths[0].isdigit():
                         raise WarcError(f"no HTTP length at {at}")
+                    lengths = [int(lengths[0])]
                     if kind == "revisit" and (body or fields.get("warc-profile") != IDENTICAL or "warc-refers-to" not in fields):
                         raise WarcError(f"revisit at {at} with a payload or without its profile and origin")
                     if kind == "response" and (len(body) != lengths[0] or base64.b32encode(hashlib.sha1(body).digest()).decode() != digest):
