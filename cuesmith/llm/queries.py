@@ -31,7 +31,7 @@ def vocabulary() -> str:
 
 @query
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repetition.repetition_report(documents(spark, sf_dir).select("doc_id", "text"))
+    found = repetition.repetition_report(documents(spark, sf_dir), carry=["doc_id"])
     return found.select("doc_id", "repetition.*")
 
 
