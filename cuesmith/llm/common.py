@@ -24,11 +24,12 @@ U64 = np.uint64
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (one machine), below the temporary folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a run on one machine uses the temporary folder; a cluster can't."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="cuesmith-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import U64, discard, mix, row_ids, save, shingles, small_batches, text_buffers
+from cuesmith.llm.common import U64, mix, row_ids, save, shingles, small_batches, text_buffers
 from cuesmith.llm.graph import components
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
@@ -316,7 +316,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, LINK)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None, sublist: int = SUBLIST) -> DataFrame:
     """One row per row of docs: rid, doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     A document's set is its distinct 5-word shingles of A-Z-lower-cased words (fewer words: the whole sequence as one). Two link when
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     top = top.sort_values("key")
     common, counts = top["key"].to_numpy().astype(np.uint32), top["n"].to_numpy().astype(np.int64)
 
-    lists = texts.select("rid", "text").mapInArrow(partial(_postings, buckets=buckets, small=small, common=common, counts=counts, sublist=SUBLIST), BLOB)
+    lists = texts.select("rid", "text").mapInArrow(partial(_postings, buckets=buckets, small=small, common=common, counts=counts, sublist=sublist), BLOB)
 
     def meet(group: pa.Table) -> pa.Table:
         return _meet(group, small)
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reached = save(components(links))
 
     parity = known.select(F.col("rid").alias("cls"), "parity")
-    open_ = _open_pairs(met, of, reached, parity, small)
+    open_ = _open_pairs(met, of, reached, parity, small, sublist)
     if open_ is not None:
         links = links.unionByName(verified(open_, texts.select("rid", "text")))
         reached = save(components(links))
@@ -377,11 +377,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataFrame, small: int) -> DataFrame | None:
+def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataFrame, small: int, sublist: int) -> DataFrame | None:
     """Pairs of classes in different components that share a long list and pass the filters; None where no list holds two components.
 
-    Hot lists are joined share by share (_open_shares). Beside size and position, sets' parity bitmaps must differ in no more bits than members may differ between sets that link, so that
-    hardly a pair comes through that doesn't.
+    Hot lists are joined share by share (_open_shares). Beside size and position, sets' parity bitmaps must differ in no more bits than
+    members may differ between sets that link, so that hardly a pair comes through that doesn't.
     """
     entries = met.where("b is null").select("bucket", "tag", F.col("a").alias("rid"), "n", "at", "before")
     entries = entries.join(of, "rid").join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -399,7 +399,7 @@ def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataF
     fits &= differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
     meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.tag") == F.col("y.tag")) & (F.col("x.component") < F.col("y.component"))
     found = x.join(y, meet & fits).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-    return save(found.unionByName(_open_shares(entries.where("bucket < 0"), small, SUBLIST)).distinct())
+    return save(found.unionByName(_open_shares(entries.where("bucket < 0"), small, sublist)).distinct())
 
 
 def _open_shares(hot: DataFrame, small: int, sublist: int) -> DataFrame:
