@@ -89,7 +89,9 @@ def test_warc_round_trip(spark, written):
     assert len(got) == len(texts)
     assert warc.round_trip(written(pages(spark, []))).count() == 0
     twice = warc.round_trip(written(pages(spark, [(1, "u", "t", "", 0), (1, "u", "t", "", 0), (None, "u", "t", "", 0), (2, "u", "t", "", 0)])))
-    assert rows(twice, "page_id", "record_type", "refers_to") == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)] or rows(twice, "page_id", "record_type")[-1][0] is None
+    assert rows(twice, "page_id", "record_type", "refers_to") == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)]
+    least = warc.read_archives(common.save(warc.write_archives(written(pages(spark, [(1, "u", "abc", "", 0), (2, "u", "abc", "", 0), (3, "u", "abcd", "", 0), (4, "u", "abcd", "", 0)])), least_bytes=4)))
+    assert rows(least, "record_id", "record_type") == [(f"<urn:page:{i}>", "revisit" if i == 4 else "response") for i in range(1, 5)]
 
 
 def test_warc_checks():
@@ -102,11 +104,11 @@ def test_warc_checks():
     raw_dictionary = __import__("zstandard").ZstdDecompressor().decompress(data[8 : 8 + size], max_output_size=1 << 20)
     plain = data[:4] + len(raw_dictionary).to_bytes(4, "little") + raw_dictionary + data[8 + size :]
     assert [c for _, c in warc.frames(plain)] == [c for _, c in found]
-    for broken in (data[:-5], data + b"xyz", data[:8] + b"\0" * 8, data[: 8 + size] + b"junkjunkjunk"):
+    for broken in (data[:-5], data + b"xyz", data + b"\x51\x2a\x4d\x18\x09\0\0\0cut off", data[:8] + b"\0" * 8, data[: 8 + size] + b"junkjunkjunk"):
         with pytest.raises((warc.WarcError, __import__("zstandard").ZstdError)):
             list(warc.frames(broken))
     good = warc.record(fields, b"abc")
-    for content in (good[:-1], good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date"), b""):
+    for content in (good[:-1], good.replace(b"Content-Length: 3", b"Content-Length: 4"), good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date"), good.replace(b"urn:page", b"urn:\xff"), b""):
         with pytest.raises(warc.WarcError):
             warc.parse(content, 0)
 
@@ -250,9 +252,11 @@ def test_passage_recall(spark, written):
 # ---------------------------------------------------------------- 3 exact dedup
 
 
-@pytest.mark.parametrize("first", [2, 128])
-def test_exact(messy, empty, repeated, monkeypatch, first):
-    monkeypatch.setattr(exact, "FIRST_BYTES", first)
+@pytest.mark.parametrize("first, hot, groups", [(2, 1024, 1024), (128, 1024, 1024), (16, 3, 2), (128, 3, 1024), (128, 3, 1 << 20)])
+def test_exact(messy, empty, repeated, monkeypatch, first, hot, groups):
+    """Level widths; hot groups that are sent to all tasks, few of them, many, and too many bytes of them."""
+    for name, value in (("FIRST_BYTES", first), ("HOT_ROWS", hot), ("HOT_GROUPS", groups)):
+        monkeypatch.setattr(exact, name, value)
     texts = pairs(messy)
     groups = defaultdict(list)
     for i, t in texts:
@@ -451,18 +455,16 @@ def test_jaccard(spark, written, messy, empty, repeated, monkeypatch, most_small
         assert left.count() == len({c for n, c in found if n}) + sum(n == 0 for n, _ in found)
 
 
-def test_jaccard_hot_lists(spark, written, monkeypatch):
+def test_jaccard_hot_lists(spark, written):
     """Sublists of hot shingles, and a chain of open components."""
-    monkeypatch.setattr(jaccard, "SUBLIST", 20)
     df = written(frame(spark, near(spark, 150)), 6)
     texts = pairs(df)
     want = {i: c for (i, _), c in zip(texts, brute.components(texts), strict=True)}
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, sublist=20).collect()} == want
 
 
-def test_jaccard_isolated_pairs_of_hot_passages(spark, written, monkeypatch):
+def test_jaccard_isolated_pairs_of_hot_passages(spark, written):
     """Two documents each of any four of nine blocks, in other orders: pairs that nothing but hot shingles links, and no chain."""
-    monkeypatch.setattr(jaccard, "SUBLIST", 8)
     rng = random.Random(31)
     blocks = [words(rng, 60) for _ in range(9)]
     texts = []
@@ -473,7 +475,7 @@ def test_jaccard_isolated_pairs_of_hot_passages(spark, written, monkeypatch):
     df = written(frame(spark, texts), 4)
     want = {i: c for (i, _), c in zip(pairs(df), brute.components(pairs(df)), strict=True)}
     assert Counter(c for _, c in want.values()).most_common(1)[0][1] == 2 and len(set(want.values())) == len(texts) // 2
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, sublist=8).collect()} == want
 
 
 def test_boundary():
