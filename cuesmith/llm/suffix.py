@@ -379,7 +379,9 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
 
         places = hot.mapInArrow(partial(_contexts, least=least), CONTEXTS)
         share = F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / group))
-        strings = save(places.groupBy("anchor", share.alias("share")).applyInArrow(cover_hot, HOT))
+        parts = max(16, shared.where(F.col("n") > group).count() * 2 * least // PARTITION)
+        places = places.withColumn("share", share).repartition(parts, "anchor", "share")
+        strings = save(places.groupBy("anchor", "share").applyInArrow(cover_hot, HOT))
         of_strings = strings.where("h1 is not null")
         twice = of_strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("known").alias("known")).where("n > 1 or known").select("h1", "h2")
         open_ = of_strings.where("not known").join(twice, ["h1", "h2"])
