@@ -208,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
         for batch in batches:
             names = batch.column(0).to_pylist()
             data, offsets = text_buffers(batch.column(1))
-            for a, b in steps(offsets, 3 * STEP):
+            for a, b in steps(offsets, 3 * STEP // 2):
                 at = offsets[a : b + 1]
                 ids, cut = encoder.encode(data[at[0] : at[-1]], at - at[0])
                 for i in range(b - a):
