@@ -27,8 +27,8 @@ def dataset_rows(df: DataFrame, sample_rate: int = 16_000) -> DataFrame:
     )
 
 
-def append_dataset(df: DataFrame, path: str) -> None:
-    dataset_rows(df).write.mode("append").partitionBy("day").json(path)
+def append_dataset(df: DataFrame, path: str, mode: str = "append") -> None:
+    dataset_rows(df).write.mode(mode).partitionBy("day").json(path)
 
 
 def write_srt(texts: DataFrame, path: str) -> None:

@@ -88,17 +88,17 @@ def chunk_stream(frames: DataFrame, size: int = 10_240) -> DataFrame:
 def idle_sessions(events: DataFrame, seconds: int, key: str = "stream_id", late: str = "10 minutes") -> DataFrame:
     """Ends of activity: sessions of a key without an event for `seconds` (0: none). The watermark that bounds the state is ours."""
     if seconds <= 0:
-        return events.select(key, F.col("ts").alias("idle_at")).where(F.lit(False))
+        return events.select(key, F.col("ts").alias("idle_at"), F.lit(0).cast("long").alias("events")).where(F.lit(False))
     source = events.withWatermark("ts", late) if events.isStreaming else events
     session = F.session_window("ts", f"{seconds} seconds")
     return source.groupBy(key, session.alias("w")).agg(F.count("*").alias("events")).select(key, F.col("w.end").alias("idle_at"), "events")
 
 
 def sink_commits(updates: DataFrame, path: str, checkpoint: str):
-    """Appends committed segments to a training set, a micro-batch once: its folder is named by the batch."""
+    """Adds committed segments to a training set, a micro-batch once: its folder is named by the batch, and a replay overwrites it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        append_dataset(batch.dropDuplicates(["session_id", "seg_idx"]), f"{path}/batch={number}")
+        append_dataset(batch.dropDuplicates(["session_id", "seg_idx"]), f"{path}/batch={number}", "overwrite")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
