@@ -17,6 +17,8 @@ from cuesmith.llm.common import BYTE, STEP, small_batches, span_hashes, steps, t
 
 #: Pieces that wait for a window; the pool is packed down to half of it when it is full.
 POOL = 4096
+#: Ids in one batch of the result.
+BATCH_IDS = 1 << 19
 #: Words whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
 #: New words that are encoded in one call.
@@ -186,19 +188,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = WordEncoder(tokenizer), Packer(capacity, pool)
-        sequence, rows = TaskContext.get().partitionId() << 33, []
+        sequence, rows, held = TaskContext.get().partitionId() << 33, [], 0
 
         def put(window: list) -> None:
-            nonlocal sequence
+            nonlocal sequence, held
             offset = 0
             for doc, start, ids, total in window:
                 rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, *[ids] * with_ids))
                 offset += len(ids)
-            sequence += 1
+            sequence, held = sequence + 1, held + offset
+
+        def full() -> bool:
+            return held >= BATCH_IDS or len(rows) >= POOL
 
         def out() -> pa.RecordBatch:
+            nonlocal held
             columns = list(zip(*rows, strict=True))
             rows.clear()
+            held = 0
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
             if with_ids:
                 cut = np.append(0, np.cumsum(columns[2])).astype(np.int32)
@@ -216,15 +223,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_
                     whole = len(own) - len(own) % capacity
                     for start in range(0, whole, capacity):
                         put([(names[a + i], start, own[start : start + capacity], len(own))])
+                        if full():
+                            yield out()
                     if whole < len(own):
-                        packer.add(len(own) - whole, (names[a + i], whole, own[whole:], len(own)))
+                        # a copy: a view would keep all of a long document's ids
+                        packer.add(len(own) - whole, (names[a + i], whole, own[whole:].copy(), len(own)))
                     if packer.n >= packer.most:
                         for window in packer.windows(packer.most // 2):
                             put(window)
-                    if len(rows) >= POOL:
-                        yield out()
+                            if full():
+                                yield out()
         for window in packer.windows(0):
             put(window)
+            if full():
+                yield out()
         if rows:
             yield out()
 
