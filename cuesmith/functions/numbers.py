@@ -168,9 +168,8 @@ def en_digits(words: Column) -> Column:
 
 
 def en_fraction(words: Column) -> Column:
-    """A numerator and half, third or quarter (or their plurals) as n/d."""
-    last = F.regexp_replace(F.try_element_at(words, F.lit(-1)), "^(halve|third|quarter)s$", "$1")
-    below = F.try_element_at(_map(EN_DENOMINATORS | {"halve": 2}), last)
+    """A numerator and half, third or quarter as n/d."""
+    below = F.try_element_at(_map(EN_DENOMINATORS), F.try_element_at(words, F.lit(-1)))
     above = en_cardinal(_init(words))
     return F.when(above.isNotNull() & below.isNotNull(), F.concat_ws("/", above.cast("string"), below.cast("string")))
 

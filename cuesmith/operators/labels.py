@@ -104,6 +104,20 @@ def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     rows = whole.join(fits, "word", "left")
     return rows.select("word", F.when(F.col("fits").isNull(), F.array(F.lit(UNKNOWN))).otherwise(pieces).alias("pieces"))
 
+def lookup_pieces(tokens: DataFrame, vocab: DataFrame, maplist: DataFrame) -> DataFrame:
+    """Each different token's pieces: those of the map (source, pieces) for the whole token, else run by run, where a run is one CJK
+    character or other characters without white space; runs that the map doesn't have go through word_pieces. [UNK] where there is no run."""
+    known = maplist.groupBy("source").agg(F.min("pieces").alias("mapped"))
+    whole = tokens.select("token").distinct().join(known.withColumnRenamed("source", "token"), "token", "left")
+    runs = F.regexp_extract_all("token", F.lit(r"(?U)([㐀-鿿]|[^\s㐀-鿿]+)"), F.lit(1))
+    parts = whole.where("mapped is null").select("token", F.posexplode(runs).alias("at", "word"))
+    found = parts.select("word").distinct().join(known.withColumnRenamed("source", "word"), "word", "left")
+    greedy = word_pieces(found.where("mapped is null"), vocab)
+    each = found.join(greedy, "word", "left").select("word", F.coalesce("mapped", "pieces").alias("pieces"))
+    split = parts.join(each, "word").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("at", "pieces"))).alias("all"))
+    joined = F.flatten(F.transform("all", lambda x: x["pieces"]))
+    return whole.join(split, "token", "left").select("token", F.coalesce("mapped", joined, F.array(F.lit(UNKNOWN))).alias("pieces"))
+
 
 def pack_chunks(sizes: Column, limit: int = 510) -> Column:
     """Chunk number of each token, whole tokens of the given piece counts filling chunks of at most `limit`."""
