@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.functions import clauses as K
+from cuesmith.functions import expressions as E
 from cuesmith.functions import numbers as N
 from cuesmith.operators import labels as B
 from cuesmith.plans.catalog import query, table
-from cuesmith.plans.number_queries import UNITS, ZH, _english
+from cuesmith.plans.number_queries import UNITS, ZH, _english, _spelled
 
 RANKS = list(N.EN_ORDINALS)[:19]
 
@@ -91,3 +92,43 @@ def mapped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = letters.unionAll(letters.select(F.concat(F.lit(B.PIECE_MARK), "token").alias("token")))
     even = words.where(F.length("token") % 2 == 0).distinct().select(F.col("token").alias("source"), F.array(F.lower("token")).alias("pieces"))
     return B.lookup_pieces(words, vocab, even).select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query("""
+select o_orderkey, case o_orderkey % 5 when 0 then a || '%' when 1 then b || '/' || a when 2 then a || '+' || b || '=' when 3 then a || '.' || o_orderkey
+                                       else '共点' || a end as text
+from (select *, o_orderkey % 999 + 1 as a, o_custkey % 99 + 1 as b from orders)
+""")
+def zh_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cents, fractions, sums, decimals and other labelled spans of Chinese text, written."""
+    key = F.col("o_orderkey")
+    a, b = _spelled(key % 999 + 1), _spelled(F.col("o_custkey") % 99 + 1)
+    tagged = lambda text, kind: F.when(F.length(text) == 1, f"S{kind}").otherwise(F.concat(F.lit(f"B{kind}"), F.repeat(F.lit(f" M{kind}"), F.length(text) - 2), F.lit(f" E{kind}")))
+    mark = lambda text: (F.lit(text), "C")
+    digits = F.translate(key.cast("string"), "0123456789", ZH)
+    spans = [
+        [mark("百分之"), (a, "A")],
+        [(a, "A"), mark("分之"), (b, "A")],
+        [(a, "A"), mark("加"), (b, "A"), mark("等于")],
+        [(a, "A"), mark("点"), (digits, "B")],
+    ]
+    by_kind = lambda f, other: F.coalesce(*[F.when(key % 5 == i, f(s)) for i, s in enumerate(spans)], other)
+    text = by_kind(lambda s: F.concat(*[t for t, _ in s]), F.concat(F.lit("共点"), a))
+    labels = by_kind(lambda s: F.concat_ws(" ", *[tagged(t, k) for t, k in s]), F.concat(F.lit("O SC "), tagged(a, "A")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.filter(F.split(text, ""), lambda c: c != "").alias("chars"), F.split(labels, " ").alias("labels"))
+    pieces = rows.select("o_orderkey", E.convert_spans(F.col("chars"), F.col("labels")).alias("pieces"))
+    written = E.zh_semantics(F.col("pieces"))
+    return pieces.select("o_orderkey", F.array_join(F.transform(written, lambda p: p["text"]), "").alias("text"))
+
+
+@query("select o_orderkey, '合' || (o_orderkey % 999 + 1) || '|元整' as words from orders")
+def token_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts whose first character shares a token with the word before: one word; the unit is a word of its own."""
+    a = _spelled(F.col("o_orderkey") % 999 + 1)
+    tokens = F.filter(F.array(F.concat(F.lit("合"), F.left(a, F.lit(1))), F.substring(a, F.lit(2), F.length(a)), F.lit("元整")), lambda t: t != "")
+    labels = F.when(F.length(a) == 1, "O SA O O").otherwise(F.concat(F.lit("O BA"), F.repeat(F.lit(" MA"), F.length(a) - 2), F.lit(" EA O O")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", tokens.alias("tokens"), F.split(labels, " ").alias("labels"))
+    chars = F.filter(F.split(F.array_join("tokens", ""), ""), lambda c: c != "")
+    pieces = rows.select("o_orderkey", "tokens", E.zh_semantics(E.convert_spans(chars, F.col("labels"))).alias("pieces"))
+    words = E.coalesce_within_tokens(E.merge_on_tokens(F.col("pieces"), F.col("tokens")), F.col("tokens"))
+    return pieces.select("o_orderkey", F.array_join(F.transform(words, lambda w: w["text"]), "|").alias("words"))
