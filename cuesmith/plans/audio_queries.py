@@ -40,15 +40,18 @@ def downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with {_PCM}, r as (select vec_id, s, unnest(range(round(len(s) / 3.0)::int)) as i from pcm),
-v as (select vec_id, i, s[3 * i + 1] as x from r)
-select vec_id, count(*)::int as n, sum(x)::bigint as total, sum(x * (i + 1))::bigint as weighted from v group by vec_id
+with {_PCM}, k as (select vec_id, s, unnest([48000, 44100]) as rate from pcm),
+r as (select vec_id, rate, s, unnest(range(round(len(s) / (rate::double / 16000))::int)) as i from k),
+p as (select vec_id, rate, s, i, i * (rate::double / 16000) as place, least(floor(i * (rate::double / 16000))::int, len(s) - 1) as a from r),
+v as (select vec_id, rate, i, round(s[a + 1] + (s[least(a + 1, len(s) - 1) + 1] - s[a + 1]) * (place - a)) as x from p)
+select vec_id, rate, count(*)::int as n, sum(x)::bigint as total, sum(x * (i + 1))::bigint as weighted from v group by vec_id, rate
 """)
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 48 kHz at 16 kHz."""
-    rows = _pcm(spark, sf_dir).select("vec_id", A.resample(F.col("samples"), 48_000, 16_000).cast("array<bigint>").alias("r"))
+    """Blocks of 48 and of 44.1 kHz at 16 kHz."""
+    rows = _pcm(spark, sf_dir).withColumn("rate", F.explode(F.array(F.lit(48_000), F.lit(44_100))))
+    rows = rows.select("vec_id", "rate", A.resample(F.col("samples"), F.col("rate"), 16_000).cast("array<bigint>").alias("r"))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x)
-    return rows.select("vec_id", F.size("r").alias("n"), add("r").alias("total"), add(F.transform("r", lambda x, i: x * (i + 1))).alias("weighted"))
+    return rows.select("vec_id", "rate", F.size("r").alias("n"), add("r").alias("total"), add(F.transform("r", lambda x, i: x * (i + 1))).alias("weighted"))
 
 
 @query(f"""

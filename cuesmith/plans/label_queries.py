@@ -53,16 +53,19 @@ def word_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select conv_id, turn, length(text) as n from conversations where text is not null and text <> ''),
-c as (select conv_id, list(n order by turn) as ns from s group by conv_id)
-select conv_id, len(ns)::int as n_tokens, list_sum(ns)::bigint as total from c
+with recursive s as (select conv_id, row_number() over (partition by conv_id order by turn) as i, length(text) as n from conversations where text is not null and text <> ''),
+walk(conv_id, i, n, chunk, filled) as (
+  select conv_id, i, n, 0, n from s where i = 1
+  union all
+  select s.conv_id, s.i, s.n, walk.chunk + (filled + s.n > 600)::int, case when filled + s.n > 600 then s.n else filled + s.n end from walk join s on s.conv_id = walk.conv_id and s.i = walk.i + 1)
+select conv_id, chunk::int as chunk, count(*)::int as n_tokens, sum(n)::bigint as total from walk group by conv_id, chunk
 """)
 def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of each conversation dealt to chunks of at most 2,000 characters; what the chunks hold together."""
+    """Turns of each conversation dealt to chunks of at most 600 characters, and what each chunk holds."""
     rows = table(spark, sf_dir, "conversations").where("text is not null and text <> ''")
     rows = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("ns"))
-    rows = rows.withColumn("chunk", labels.pack_chunks(F.col("ns"), 2000))
-    return rows.select("conv_id", F.size("chunk").alias("n_tokens"), F.aggregate("ns", F.lit(0).cast("long"), lambda t, n: t + n).alias("total"))
+    rows = rows.select("conv_id", F.explode(F.arrays_zip("ns", labels.pack_chunks(F.col("ns"), 600).alias("chunk"))).alias("x"))
+    return rows.groupBy("conv_id", F.col("x.chunk").alias("chunk")).agg(F.count("*").cast("int").alias("n_tokens"), F.sum("x.ns").alias("total"))
 
 
 @query("""

@@ -37,6 +37,31 @@ def dictionary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.dictionary_report(_words(spark, sf_dir))
 
 
+@query(rf"""
+with {_LEXICON},
+k as (select word, lower(replace(word, ' ', '')) as key, s, o from lex where length(replace(word, ' ', '')) >= 2 and regexp_matches(word, '[A-Z +#.\-_/]')),
+f as (select * from (select *, row_number() over (partition by key order by s, o) as n from k) where n = 1)
+select word, key, (row_number() over (order by strlen(word) desc, word) - 1)::int as place from f
+""")
+def rule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hotwords that take part in rewriting, one of each key, in the order in which they are tried."""
+    rules = L.ordered_rules(L.hotword_rules(_words(spark, sf_dir)).select("word", "key"), "word")
+    return rules.select(F.posexplode("rules").alias("place", "r")).select("r.word", "r.key", "place")
+
+
+@query("""
+with p as (select p_partkey, ' ' || p_name || ' ' || p_size as f, case when p_partkey % 9 = 0 then ' ' else p_brand end as t, p_type as u from part),
+own as (select f, u from p where p_partkey % 20 = 0),
+every as (select f, t, 'builtin' as origin from p where f not in (select f from own) union all select f, u, 'user' from own)
+select trim(f) as from_text, trim(t) as to_text, origin from every where trim(t) <> ''
+""")
+def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as built-in rewrites, some of them blank, and every twentieth as a user's."""
+    part = table(spark, sf_dir, "part").withColumn("from_text", F.concat(F.lit(" "), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string")))
+    builtin = part.select("from_text", F.when(F.col("p_partkey") % 9 == 0, " ").otherwise(F.col("p_brand")).alias("to_text"))
+    return L.merge_rules(part.where("p_partkey % 20 = 0").select("from_text", F.col("p_type").alias("to_text")), builtin)
+
+
 #: Rewrites of frequent words of the documents.
 TERMS = {"the": "THE", "of": "XOFX", "und": "UND", "der": "D.E.R", "les": "L$S", "and": "A\\ND"}
 

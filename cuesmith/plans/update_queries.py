@@ -156,18 +156,26 @@ def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's first 4, 8, 12, ... words as snapshots, the third of them with a changed word."""
+    """Each turn's first 4, 8, 12, ... words as up to eight snapshots, the third with a changed word; the last one is the whole turn."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("session_id"), F.filter(F.split("text", " "), lambda w: w != "").alias("w"))
-    turns = turns.where("size(w) > 0").select("session_id", "w", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.ceil(F.size("w") / 4)).cast("int"))).alias("seq"))
-    tokens = F.slice("w", F.lit(1), F.col("seq") * 4)
+    turns = turns.where("size(w) > 0").withColumn("last", F.least(F.lit(8), F.ceil(F.size("w") / 4)).cast("int"))
+    turns = turns.select("session_id", "w", "last", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("seq"))
+    tokens = F.when(F.col("seq") == F.col("last"), F.col("w")).otherwise(F.slice("w", F.lit(1), F.col("seq") * 4))
     tokens = F.transform(tokens, lambda t, i: F.when((F.col("seq") == 3) & (i == 9), "changed").otherwise(t))
     return turns.select("session_id", "seq", tokens.alias("tokens"), (F.col("seq") * 0.64).alias("audio_end_s"))
 
 
-@query("""
-with t as (select conv_id * 1000 + turn as session_id, list_filter(string_split(text, ' '), lambda w: w <> '') as w from conversations where text is not null),
-s as (select session_id, unnest(range(1, least(8, ceil(len(w) / 4))::int + 1)) as seq, w from t where len(w) > 0),
-k as (select session_id, seq, seq * 0.64 as stop, unnest(w[1:seq * 4]) as raw, generate_subscripts(w[1:seq * 4], 1) as pos from s),
+_SNAPSHOTS = """
+t as (select conv_id * 1000 + turn as session_id, list_filter(string_split(text, ' '), lambda w: w <> '') as w from conversations where text is not null),
+l as (select session_id, least(8, ceil(len(w) / 4))::int as last, w from t where len(w) > 0),
+r as (select session_id, w, last, unnest(range(1, last + 1)) as seq from l),
+s as (select session_id, seq, case when seq = last then w else w[1:seq * 4] end as w from r),
+"""
+
+
+@query(f"""
+with {_SNAPSHOTS}
+k as (select session_id, seq, seq * 0.64 as stop, unnest(w) as raw, generate_subscripts(w, 1) as pos from s),
 x as (select *, case when seq = 3 and pos = 10 then 'changed' else raw end as token, max(seq) over (partition by session_id) as last from k),
 z as (select session_id, pos, token, stop as final from x where seq = last),
 a as (select x.session_id, x.seq, x.stop, x.pos, x.token = z.token as same from x join z using (session_id, pos)),
@@ -185,9 +193,55 @@ def token_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("ts", F.round("ts", 4))
 
 
-@query()
+_SAME = "coalesce(list_min(list_filter(range(1, least(len(f), len(x)) + 1), lambda i: f[i] <> x[i])) - 1, least(len(f), len(x)))"
+
+
+@query(f"""
+with {_SNAPSHOTS}
+k as (select session_id, seq, list_transform(w, lambda x, i: case when seq = 3 and i = 10 then 'changed' else x end) as tokens from s),
+c as (select *, array_to_string(tokens, '') as text from k),
+v as (select *, coalesce(not starts_with(text, lag(text) over (partition by session_id order by seq)), false) as revision from c),
+e as (select *, sum(revision::int) over (partition by session_id order by seq) as epoch from v),
+h as (select *, list(tokens) over w as seen, list(string_split(text, '')) over w as chars from e window w as (partition by session_id, epoch order by seq rows between 4 preceding and current row)),
+p as (select *, list_min(list_transform(seen, lambda x: {_SAME.replace("f[", "seen[1][").replace("len(f)", "len(seen[1])")})) as n_tokens,
+             list_min(list_transform(chars, lambda x: {_SAME.replace("f[", "chars[1][").replace("len(f)", "len(chars[1])")})) as n_chars from h),
+q as (select *, least(length(array_to_string(tokens[1:least(n_tokens, greatest(len(tokens) - 8, 0))], '')), n_chars) as n from p),
+m as (select *, coalesce(list_max(list_filter(range(1, n + 1), lambda i: contains('，。！？；', text[i])
+        or (contains(',.!?;', text[i]) and not (i > 1 and i < n and regexp_matches(text[i - 1] || text[i + 1], '^[A-Za-z0-9][A-Za-z0-9]$'))))), 0) as mark from q)
+select session_id, seq as sequence, revision, (case when len(seen) = 5 then mark else 0 end)::int as stable_chars, (length(text) - case when len(seen) = 5 then mark else 0 end)::int as unstable_chars
+from m
+""")
 def stable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable and unstable characters of the growing snapshots of turns."""
     rows = _snapshots(spark, sf_dir).select("session_id", F.col("seq").alias("sequence"), "tokens", F.array_join("tokens", "").alias("text"), F.lit(0).alias("committed_prefix_chars"), F.lit(False).alias("final_result"))
     found = U.stable_prefix(U.mark_revisions(rows))
     return found.select("session_id", "sequence", "revision", F.length("stable").alias("stable_chars"), F.length("unstable").alias("unstable_chars"))
+
+
+@query(f"""
+with {_TURNS},
+seen as (select *, last_value(nullif(text, '') ignore nulls) over (partition by session_id order by sequence rows between unbounded preceding and 1 preceding) as last from turns),
+u as (select session_id, count(*) filter (not final_result) as partials, sum((text <> '' and not starts_with(text, coalesce(last, '')))::int)::bigint as revisions, count(*) filter (final_result) as finals from seen group by session_id),
+s as (select conv_id as session_id, count(*) as segments, sum(len(list_filter(string_split(text, ' '), lambda w: w <> '')))::bigint as tokens, sum(turn * 10 + 5)::bigint as audio_ms from conversations where text is not null group by conv_id)
+select * from u full join s using (session_id)
+""")
+def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials, revisions and finals of conversations, with their segments, tokens and audio."""
+    segments = _segments(spark, sf_dir).withColumn("audio_ms", F.col("seg_idx") * 10 + 5)
+    return U.session_report(U.mark_revisions(_turns(spark, sf_dir)), segments)
+
+
+@query("""
+with seg as (select conv_id, turn, text, list_filter(string_split(text, ' '), lambda w: w <> '') as tokens, turn = max(turn) over (partition by conv_id) as last from conversations where text is not null),
+n as (select *, len(tokens) as n, turn * 10.0::double * len(tokens) + case when turn % 2 = 0 then len(tokens) * (len(tokens) - 1) / 4 else 0 end as ts from seg)
+select conv_id as session_id, sha256(string_agg(text, '' order by turn)) as text_sha256, sum(n)::int as n_tokens,
+       round(case when coalesce(sum(n) filter (not last), 0) > 0 then sum(ts) end, 4)::double as ts_sum,
+       round(coalesce(avg((turn % 4 + 1) / 8) filter (not last), max((turn % 4 + 1) / 8)), 4)::double as confidence
+from n group by conv_id
+""")
+def active_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's last turn as the active partial behind its committed turns."""
+    rows = _segments(spark, sf_dir).withColumn("last", F.col("seg_idx") == F.max("seg_idx").over(S.Window.partitionBy("session_id")))
+    found = U.with_active(U.commit_sessions(rows.where("not last")), rows.where("last"))
+    total = F.aggregate("token_timestamps", F.lit(0.0), lambda a, t: a + t)
+    return found.select("session_id", F.sha2("text", 256).alias("text_sha256"), F.size("tokens").alias("n_tokens"), F.round(total, 4).alias("ts_sum"), F.round("confidence", 4).alias("confidence"))
