@@ -55,15 +55,22 @@ def candidate_rules(texts: DataFrame, rules: DataFrame, key: str = "id") -> Data
     """Which rules (key, word) can match in which texts: (id, key, word).
 
     A text's runs of ASCII letters and digits are joined, where only ASCII blanks part them, into all sequences of up to 64 characters;
-    the lower-case sequences meet the rules' keys in one hash join, instead of every rule being tried on every text.
+    the lower-case sequences meet the rules' keys in one hash join, instead of every rule being tried on every text. A row holds one
+    word and what can follow it, so that long texts make many rows but no large ones.
     """
-    runs = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+(?:[ \t\n\f\r]+[A-Za-z0-9]+)*"), F.lit(0))
-    rows = texts.select(key, F.explode(runs).alias("_run")).select(key, F.split(F.lower("_run"), r"[ \t\n\f\r]+").alias("_w"))
-    most = F.least(F.size("_w"), F.lit(LONGEST))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(most, F.size("_w") - i + 1)), lambda n: F.array_join(F.slice("_w", i, n), ""))))
-    short = F.filter(F.array_distinct(grams), lambda g: F.length(g).between(2, LONGEST))
-    found = rows.select(key, F.explode(short).alias("key")).distinct()
-    return found.join(rules.select("key", "word"), "key").select(key, "key", "word")
+    # plain classes only: a repeated group would recurse once a word, beyond the stack on long texts
+    runs = F.split("text", r"[^A-Za-z0-9 \t\n\f\r]+")
+    rows = texts.select(key, F.explode(runs).alias("_run")).select(key, F.filter(F.split(F.lower("_run"), r"[ \t\n\f\r]+"), lambda w: w != "").alias("_w")).where("size(_w) > 0")
+    # one row a word, with the words from there on that can take part
+    rows = rows.select(key, F.explode(F.transform("_w", lambda _, i: F.array_join(F.slice("_w", i + 1, LONGEST), " "))).alias("_t"))
+    # twice the longest key's letters hold it with all its blanks; a word cut there makes a sequence that is longer than any key
+    most = F.least(F.lit(LONGEST), rules.agg(F.max(F.length("key"))).scalar())
+    rows = rows.withColumn("_t", F.substring("_t", F.lit(1), most * 2))
+    rows = rows.select(key, F.regexp_extract("_t", "^(?: ?[a-z0-9]){1,%d}(?![a-z0-9])" % LONGEST, 0).alias("_t")).where("_t <> ''")
+    ends = F.split("_t", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda n: F.array_join(F.slice(ends, F.lit(1), n), ""))
+    found = rows.select(key, F.explode(grams).alias("key")).where(F.length("key") >= 2)
+    return found.join(rules.select("key", "word"), "key").select(key, "key", "word").distinct()
 
 
 def resolve_imports(edges: DataFrame, roots: DataFrame) -> DataFrame:

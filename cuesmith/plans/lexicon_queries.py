@@ -85,12 +85,15 @@ def rewrite_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 with k as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) as key from benchmark),
-r as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) as t from documents)
-select distinct r.doc_id, k.key from r join k on lower(r.t) = k.key where length(k.key) between 9 and 64
+u as (select doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[ \t\n\f\r]+[A-Za-z0-9]+)*'))) as run from documents),
+w as (select doc_id, regexp_split_to_array(run, '[ \t\n\f\r]+') as w from u),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w),
+g as (select distinct doc_id, array_to_string(w[i : i + n], '') as key from (select *, unnest(range(0, least(len(w) - i + 1, most))) as n from p, (select least(64, max(length(key))) as most from k)) where length(array_to_string(w[i : i + n], '')) <= most)
+select doc_id, key from g join k using (key) where length(key) >= 2
 """)
 def hotword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which long words of the benchmark stand in which documents, found by one join instead of trying every rule."""
+    """Which words of the benchmark stand in which documents, blanks inside them allowed, found by one join instead of trying every rule."""
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
-    rules = terms.select(F.lower("word").alias("key"), F.lower("word").alias("word")).distinct().where(F.length("key").between(9, 64))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("text"))
-    return L.candidate_rules(texts.distinct(), rules).select(F.col("id").alias("doc_id"), "key").distinct()
+    rules = terms.select(F.lower("word").alias("key"), F.lower("word").alias("word")).distinct().where(F.length("key").between(2, L.LONGEST))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return L.candidate_rules(texts, rules).select(F.col("id").alias("doc_id"), "key")
