@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import exact, jaccard, mixing, packing, passages, private, repetition, sharding, suffix, warc
+from cuesmith.llm import centroids, exact, jaccard, mixing, neighbours, packing, passages, periodic, private, repetition, sharding, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +162,67 @@ select docs.doc_id, {", ".join(f"count(*) filter (kind = {k}) as n_{n}" for k, n
        coalesce(string_agg({_NAMES} || ':' || s || ':' || e, ',' order by kind, s), '') as spans
 from docs left join spans using (doc_id) group by docs.doc_id
 """
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+#: Rows of embeddings whose id this divides are queries.
+QUERY_EVERY = 100
+
+
+@query
+def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, sf_dir), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+ORACLE["op11_collision_counting"] = f"""
+with v as (select vec_id, embedding::double[] as x from embeddings
+           where len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+d as (select q.vec_id as query_id, v.vec_id, sqrt(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (v.x[i] - q.x[i]) * (v.x[i] - q.x[i])))) as score
+      from v q join v on q.vec_id <> v.vec_id and len(q.x) = len(v.x) where q.vec_id % {QUERY_EVERY} = 0),
+r as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from d)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query
+def op12_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.kmeans(embeddings(spark, sf_dir))
+
+
+def _round_sql(r: int) -> str:
+    """Vectors with their nearest centroids of round r, and the centroids after it."""
+    return f"""
+d{r} as (select v.vec_id, v.x, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as distance from v cross join c{r} c),
+a{r} as materialized (select vec_id, any_value(x) as x, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from d{r} group by vec_id),
+s{r} as (select cluster, i, sum(x[i]) as total, count(*) as n from a{r} cross join (select unnest(range(1, 65)) as i) group by cluster, i),
+n{r} as (select cluster, list((total - ((total % n) + n) % n) // n order by i) as x from s{r} group by cluster),
+c{r + 1} as materialized (select cluster, coalesce(n{r}.x, c{r}.x) as x from c{r} left join n{r} using (cluster))"""
+
+
+ORACLE["op12_pivot_table"] = f"""
+with v as materialized (select vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+c0 as materialized (select (row_number() over (order by h) - 1)::int as cluster, x::hugeint[] as x from (select x, sha256('3:' || vec_id) as h from v order by h limit 8)),
+{",".join(_round_sql(r) for r in range(11))}
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+       sha256(array_to_string(c10.x, ',')) as centroid_sha256
+from a10 join c10 using (cluster)
+"""
+
+
+def repeated_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """From where on and with which period the query repeats a text of n words; None for most ids and for null."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+@query
+def op13_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(documents(spark, sf_dir), rewrite=repeated_tail, carry=["doc_id"])
+    return found.select("doc_id", "periodic.*").drop("runs")
