@@ -102,6 +102,17 @@ def _clock(w: Column, n: Column) -> Column:
     return F.when((n >= 4) & F.get(w, n - 2).isin("a", "p") & (F.get(w, n - 1) == "m"), found)
 
 
+#: What each rule asks for at least: how the clause begins or ends, a point in it, or nothing but number words.
+_LIKELY = "|".join(
+    [
+        rf"^(?:call|{'|'.join(MONTHS)})(?: |\z)",
+        rf"(?:^| )(?:[ap] m|percent|{'|'.join([*N.EN_DENOMINATORS, *N.EN_ORDINALS])})\z",
+        r"(?:^| )point(?: |\z)",
+        rf"^(?:(?:and|hundred|thousand|million|{'|'.join(N.EN_CARDINALS)})(?: |\z))++\z",
+    ]
+)
+
+
 def en_clause(words: Column) -> Column:
     """An English clause (an array of words) with its numbers written: parts (text, kind, upto), null where no rule holds.
 
@@ -129,7 +140,7 @@ def en_clause(words: Column) -> Column:
         digits, cardinal, year = N.en_digits(w), N.en_cardinal(w), N.en_year(w)
         plain = F.coalesce(F.when(n > 1, digits), F.when((n > 1) | (cardinal >= 10), cardinal.cast("string")), F.when(n > 1, year.cast("string")))
         found = F.coalesce(call, _date(w, n, capital), _clock(w, n), percent, point, fraction, ordinal, F.when(plain.isNotNull(), F.array(part(plain, n))))
-        return F.when((n > 0) & F.forall(w, lambda x: x.rlike(r"^[a-z]+\z")), found)
+        return F.when((n > 0) & F.array_join(w, " ").rlike(_LIKELY) & F.forall(w, lambda x: x.rlike(r"^[a-z]+\z")), found)
 
     lower = F.transform(words, lambda x: F.lower(x))
     return bind(F.struct(lower.alias("w"), F.size(words).alias("n"), F.coalesce(F.get(words, F.lit(0)).rlike("^[A-Z]"), F.lit(False)).alias("capital")), rules)
@@ -158,13 +169,9 @@ def web_words(tokens: Column) -> Column:
     return F.when(F.get(tokens, F.lit(0)).rlike("^(网址|邮箱)"), bind(dot, write)).otherwise(plain)
 
 
-def final_mark(tokens: Column, rendered: Column, labels: Column, mark: Column, final: bool = True) -> Column:
-    """The mark after a text's last word, "" for none.
-
-    tokens are the spoken ones, rendered the written text, labels those of the characters (O, or a place and a kind A to D), mark the
-    last character's mark label. Latin text ends in a period; bare numbers, short decimals and clock times, and a 点 that gave
-    neither point nor colon, end in nothing. A text that isn't final has no last mark yet.
-    """
+def mark_rules(tokens: Column, rendered: Column, labels: Column) -> Column:
+    """What decides about marks: does the text take Chinese ones (chinese), is it a bare number or the like, which ends in nothing (bare),
+    is it Latin and so ends in a period (latin). Arguments as for final_mark."""
     digit = N.ZH_DIGIT_CHARS
     talk, one_by_one, counted = (f"[{c}]" for c in (digit + ZH_NUMBER_TALK, digit.replace("两", ""), digit + ZH_COUNTERS))
     raw = F.array_join(tokens, "")
@@ -181,7 +188,21 @@ def final_mark(tokens: Column, rendered: Column, labels: Column, mark: Column, f
     split = has(rendered, r"^[0-9]+( [0-9]+)+\z") & only(raw, counted)
     clock = has(rendered, ":") & has(raw, "[点时]") & ~has(raw, "分") & only(raw, talk)
     pointless = has(raw, "点") & ~has(rendered, "[.:]") & only(raw, talk)
-    forced = F.lit(final) & has(raw, "[A-Za-z]") & ~has(raw, CJK) & mark.isNotNull()
-    label = F.when(decimal | integer | sequence | split | clock | pointless | (F.size(tokens) == 0), 0).when(forced, 2).otherwise(mark)
-    written = lambda marks: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in marks.items() for v in kv]), label.cast("int")), F.lit(""))
-    return F.when(F.lit(final), F.when(chinese, written(ZH_MARKS)).otherwise(written(MARKS))).otherwise("")
+    bare = decimal | integer | sequence | split | clock | pointless | (F.size(tokens) == 0)
+    return F.struct(chinese.alias("chinese"), bare.alias("bare"), (has(raw, "[A-Za-z]") & ~has(raw, CJK)).alias("latin"))
+
+
+def final_mark(tokens: Column, rendered: Column, labels: Column, mark: Column, final: bool = True) -> Column:
+    """The mark after a text's last word, "" for none.
+
+    tokens are the spoken ones, rendered the written text, labels those of the characters (O, or a place and a kind A to D), mark the
+    last character's mark label. Latin text ends in a period; bare numbers, short decimals and clock times, and a 点 that gave
+    neither point nor colon, end in nothing. A text that isn't final has no last mark yet.
+    """
+
+    def choose(rule: Column) -> Column:
+        label = F.when(rule["bare"], 0).when(F.lit(final) & rule["latin"] & mark.isNotNull(), 2).otherwise(mark)
+        written = lambda marks: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in marks.items() for v in kv]), label.cast("int")), F.lit(""))
+        return F.when(rule["chinese"], written(ZH_MARKS)).otherwise(written(MARKS))
+
+    return F.when(F.lit(final), bind(mark_rules(tokens, rendered, labels), choose)).otherwise("")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ PLACES, KINDS = "BMES", "ABCD"
 
 
 def _pick(values: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(v) for v in chain.from_iterable(values.items())]), key)
+    return F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in values.items()) + ")"), key)
 
 
 def _piece(source: Column, text: Column, category: Column | None, kind: Column | str = "number") -> Column:
@@ -82,8 +80,28 @@ def _leading(pieces: Column, holds) -> Column:
 
 def zh_semantics(pieces: Column) -> Column:
     """Pieces with the symbols between numbers written: operators, points, per cent and the like, fractions turned round, and blanks
-    between numbers that don't belong together. One fold over the pieces of an utterance."""
-    return bind(pieces, _with_symbols)
+    between numbers that don't belong together.
+
+    A fold over each stretch of number pieces and the one piece before it, which is all that its rules look at; other pieces stay. So
+    the work follows the length of the stretches, not that of the utterance.
+    """
+
+    def write(all_: Column) -> Column:
+        numeric = lambda i: F.coalesce(F.get(all_, i)["category"].isNotNull(), F.lit(False))
+        heads = F.filter(F.transform(all_, lambda p, i: i), lambda i: ~(numeric(i) & numeric(i - 1)))
+
+        def stretch(head: Column, end: Column) -> Column:
+            before = F.least(head, F.lit(1))
+            written = bind(F.slice(all_, head - before + 1, end - head + before), _with_symbols)
+            return F.slice(written, before + 1, F.size(written))
+
+        def group(head: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1), F.size(all_))
+            return F.when(numeric(head), stretch(head, end)).otherwise(F.array(F.get(all_, head)).cast(f"array<{PIECE}>"))
+
+        return F.flatten(F.transform(heads, group))
+
+    return bind(pieces, write)
 
 
 def _with_symbols(pieces: Column) -> Column:

@@ -29,7 +29,7 @@ ZH_DIGIT_CHARS = "".join(ZH_DIGITS.values()) + "0123456789"
 
 
 def _map(values: dict[str, int]) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v).cast("long")) for k, v in values.items()))
+    return F.expr("map(" + ", ".join(f"'{k}', {v}L" for k, v in values.items()) + ")")
 
 
 def _by_char(groups: dict[int, str]) -> dict[str, int]:

@@ -7,6 +7,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesmith.functions import transcripts
+from cuesmith.functions.clauses import ZH_MARKS
+
 # The label that begins, goes on with and ends a span of each category, and single ones.
 CATEGORIES = "ABCD"
 UNKNOWN, PIECE_MARK = "[UNK]", "@@"
@@ -73,7 +76,7 @@ def numeric_features(tokens: DataFrame, key: str = "utt") -> DataFrame:
 def attach_marks(words: DataFrame, labels: DataFrame, final: bool, key: str = "utt") -> DataFrame:
     """Words (utt, idx, text, source_end) with the mark of the character before their end: labels (utt, char_idx, mark, is_end) count on
     token ends only, 1 to 4 mean a mark, and the last character's counts only when final."""
-    marks = F.array(*map(F.lit, "，。？！"))
+    marks = F.array(*[F.lit(ZH_MARKS[label]) for label in range(1, 5)])
     last = Window.partitionBy(key)
     known = labels.withColumn("_last", F.max("char_idx").over(last)).where(F.col("is_end") & F.col("mark").between(1, 4))
     if not final:
@@ -104,6 +107,7 @@ def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     rows = whole.join(fits, "word", "left")
     return rows.select("word", F.when(F.col("fits").isNull(), F.array(F.lit(UNKNOWN))).otherwise(pieces).alias("pieces"))
 
+
 def lookup_pieces(tokens: DataFrame, vocab: DataFrame, maplist: DataFrame) -> DataFrame:
     """Each different token's pieces: those of the map (source, pieces) for the whole token, else run by run, where a run is one CJK
     character or other characters without white space; runs that the map doesn't have go through word_pieces. [UNK] where there is no run."""
@@ -133,7 +137,5 @@ def pack_chunks(sizes: Column, limit: int = 510) -> Column:
 
 def replace_words(text: Column, rules: Column) -> Column:
     """Ordered literal rules (source, target), each applied to what the earlier ones left, on ASCII word bounds, in their own case."""
-    from cuesmith.functions.text import quoted
-
-    bounded = lambda s: F.concat(F.when(s.rlike("^[A-Za-z0-9]"), r"(?<![A-Za-z0-9])").otherwise(""), quoted(s), F.when(s.rlike("[A-Za-z0-9]$"), r"(?![A-Za-z0-9])").otherwise(""))
-    return F.aggregate(rules, text, lambda acc, r: F.regexp_replace(acc, bounded(r["source"]), F.regexp_replace(r["target"], r"([\\$])", r"\\$1")))
+    whole = F.array(F.struct(text.alias("text"), F.lit("text").alias("kind"), F.length(text).alias("upto")))
+    return F.when(text.isNotNull(), transcripts.joined(transcripts.replace_words(whole, rules)))

@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # registers by being imported
 from cuesmith.plans import captions_queries  # noqa: E402, F401
-from cuesmith.plans import audio_queries, clause_queries, label_queries, lexicon_queries, number_queries, session_queries, update_queries  # noqa: E402, F401
+from cuesmith.plans import audio_queries, clause_queries, label_queries, lexicon_queries, number_queries, session_queries, transcript_queries, update_queries  # noqa: E402, F401

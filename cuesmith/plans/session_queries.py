@@ -58,7 +58,7 @@ _WORDS = "w as (select o_custkey as utt, o_orderkey as idx, o_orderstatus as tex
 @query(f"""
 with {_WORDS}, l as (select *, max(source_end) over (partition by utt) as last from w)
 select utt, idx, text, source_end::int as source_end,
-       case when is_end and source_end <> last then (case mark when 1 then '，' when 2 then '。' when 3 then '？' when 4 then '！' end) end as mark
+       case when is_end and source_end <> last then (case mark when 1 then '，' when 2 then '。' when 3 then '！' when 4 then '？' end) end as mark
 from l
 """)
 def mark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
