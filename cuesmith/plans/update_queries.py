@@ -133,7 +133,62 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("user_id").alias("stream_id"), order.alias("frame"), (F.col("value") > 20).alias("evidence"))
 
 
-@query()
+def _endpoint_sql(gap: int, start_margin: int = 30, end_margin: int = 30, response_timeout: int = 6_000, speech_end: int = 800, longest: int = 6_000) -> str:
+    """The endpoint rule frame by frame as a recursive walk: one row a frame and stream, with all that it has counted so far."""
+    at = lambda f: f"c[greatest({f}, 0)::int + 1]"
+    return f"""
+fr as (select user_id as stream, row_number() over o - 1 as f, value > 20 as ev, count(*) over (partition by user_id) = row_number() over o as fin from events window o as (partition by user_id order by ts, event_id)),
+walk(stream, f, ev, c, r, st, maybe, last_end, last_real, segs, margin, delay, kind, bound, realb) as (
+  select stream, -1::bigint, false, []::bigint[], []::int[], -1::bigint, -1::bigint, -1::bigint, 0::bigint, 0, -1::bigint, 0::bigint, null::varchar, 0::bigint, 0::bigint from fr where f = 0
+  union all
+  select stream, f, ev, c, r,
+    case when kind = 'start' then greatest(last_end, seen - back) + 1 when kind in ('end', 'flush') then -1 else st end,
+    case when kind = 'start' then -1 when kind is null and st < 0 and may < 0 and {at("f")} - {at("f - 7")} >= 7 then f - 7 when st < 0 then may else maybe end,
+    case when kind = 'end' then rp + {end_margin} when kind = 'flush' then case when margin > 0 then margin else f end else last_end end,
+    case when kind = 'end' then rp when kind = 'flush' then case when margin > 0 then margin - {end_margin} else f end else last_real end,
+    segs + (coalesce(kind, '') = 'start')::int,
+    case when kind in ('end', 'flush') then -1 when st >= 0 and kind is null then case when still then case when margin < 0 then f else margin end else -1 end else margin end,
+    case when kind = 'start' then back when kind = 'flush' then (margin < 0)::int when kind = 'timeout' then 0
+         when st >= 0 and kind is null then case when still then 0 when margin < 0 then 1 else f + 1 - margin end else delay end,
+    coalesce(replace(kind, 'flush', 'end'), case when st >= 0 and not still then 'speech' else 'none' end),
+    case kind when 'start' then greatest(last_end, seen - back) + 1 when 'end' then rp + {end_margin} when 'flush' then case when margin > 0 then margin else f end else f end,
+    case kind when 'start' then seen - least(20, seen) when 'end' then rp when 'flush' then case when margin > 0 then margin - {end_margin} else f end else f end
+  from (
+    select *, case when seen - 20 > {start_margin} then {start_margin + 21} else seen + 1 end as back from (
+      select *, case when {at("f")} - {at("f - 20")} >= 15 then f else may + 20 end as seen, f - {gap} - r[greatest(f - {gap}, 0)::int + 1] as rp,
+        case when margin < 0 then f > {end_margin} and {at("f")} = {at(f"f - {end_margin}")} else f > 1 and {at("f")} = {at("f - 1")} end as still,
+        case when st < 0 then
+               case when {at("f")} - {at("f - 20")} >= 15 or (may >= 0 and {at("f")} - {at("f - 1")} = 1 and {at("f")} - {at("may")} >= 15) then 'start'
+                    when (segs = 0 and f > {response_timeout}) or (segs > 0 and f + 1 - last_real > {speech_end}) then 'timeout' end
+             when f > {gap} and {at("f")} = {at(f"f - {gap}")} then 'end' when fin then 'flush' end as kind
+      from (
+        select w.stream, fr.f, fr.ev, fr.fin, list_append(w.c, coalesce(w.c[-1], 0) + (fr.ev and not (st >= 0 and fr.f - st > {longest}))::int) as c,
+          list_append(w.r, case when fr.ev then 0 else coalesce(w.r[-1], 0) + 1 end::int) as r, st, maybe, case when maybe < 0 or fr.f - maybe > {gap} then -1 else maybe end as may,
+          last_end, last_real, segs, margin, delay
+        from walk w join fr on fr.stream = w.stream and fr.f = w.f + 1))))"""
+
+
+@query(f"""
+with recursive {_endpoint_sql(12, 8, 5, 40, 30, 20)}
+select stream::varchar as stream_id, f as frame, ev as evidence, kind as status, c[-1] as cum, r[-1] as silence_run, delay::int as delay, margin from walk where f >= 0
+""")
+def endpoint_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as frames, each with the endpoint's status and its counters, which stand still beyond the longest segment."""
+    frames = _frames(spark, sf_dir).withColumn("stream_id", F.col("stream_id").cast("string"))
+    return S.endpoint_frames(frames, S.Params(gap=12, start_margin=8, end_margin=5, response_timeout=40, speech_end=30, longest=20))
+
+
+@query(f"""
+with recursive {_endpoint_sql(4)},
+b as (select stream, f, kind, bound, realb, lag(realb) over (partition by stream order by f) as since from walk where kind in ('start', 'end')),
+n as (select stream, max(f) + 1 as frames from walk group by stream),
+s as (select b.stream, row_number() over (partition by b.stream order by f) - 1 as seg_idx, greatest(since, 0) * 160 as start_sample, greatest(realb, 0) * 160 as end_sample, (realb - since) * 10 as speech_ms, frames * 160 as total_samples
+      from b join n using (stream) where kind = 'end'),
+e as (select *, least(end_sample + 480, total_samples) as audio_end_sample from s)
+select stream::varchar as stream_id, seg_idx::int as seg_idx, start_sample, end_sample, speech_ms, total_samples, audio_end_sample,
+       greatest(start_sample - 320, 0, coalesce(max(audio_end_sample) over (partition by stream order by seg_idx rows between unbounded preceding and 1 preceding), 0)) as audio_start_sample
+from e
+""")
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech segments of users' events as frames: the endpoint rule, then padding."""
     frames = _frames(spark, sf_dir).select(F.col("stream_id").cast("string").alias("stream_id"), F.col("frame").cast("long").alias("frame"), "evidence")
