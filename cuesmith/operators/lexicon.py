@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +76,54 @@ def candidate_rules(texts: DataFrame, rules: DataFrame, key: str = "id") -> Data
     return found.join(rules.select("key", "word"), "key").select(key, "key", "word").distinct()
 
 
+VISITS = "root string, file string, visit_ord int"
+
+
 def resolve_imports(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Import closure: rows (root, file, visit_ord), imports before the file that names them, each file once for a root.
 
-    edges: (src, dst, pos). A file's place is the smallest array of child positions on a way to it; with a high end mark, these arrays
-    sort files after their imports. Cycles are cut by the path that each way carries.
+    edges: (src, dst, pos), roots: (root). Which files a root reaches is found level by level: the files of one level meet the edges in
+    one join, those found before fall out, and each level is checkpointed, so neither the number of ways nor their length matters. Then
+    each root's reached edges are walked depth first, in the order of pos (then name), every file at its first visit: that cuts cycles.
+    A walk holds one root's edges. Repeated edges and roots count once; files without edges are leaves.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_import_edges")
-    roots.createOrReplaceTempView("_import_roots")
-    ways = spark.sql("""
-        with recursive ways(root, file, way, path) as (
-          select root, root, cast(array() as array<int>), array(root) from _import_roots
-          union all
-          select w.root, e.dst, array_append(w.way, e.pos), array_append(w.path, e.dst)
-          from ways w join _import_edges e on e.src = w.file where not array_contains(w.path, e.dst))
-        select root, file, way from ways""")
-    first = ways.groupBy("root", "file").agg(F.min("way").alias("way"))
-    order = Window.partitionBy("root").orderBy(F.concat("way", F.array(F.lit(2**31 - 1))))
-    return first.select("root", "file", (F.row_number().over(order) - 1).alias("visit_ord"))
+    links, start = edges.select("src", "dst", "pos").distinct(), roots.select("root").distinct()
+    level = start.select("root", F.col("root").alias("file"))
+    found = level
+    while True:
+        after = level.join(links, level["file"] == links["src"]).select("root", F.col("dst").alias("file")).distinct()
+        level = checkpointed(after.join(found, ["root", "file"], "left_anti"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    reached = found.join(links, found["file"] == links["src"]).select("root", "src", "dst", "pos")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("src", "string"), ("dst", "string"), ("pos", links.schema["pos"].dataType))]
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        root = group["root"].iloc[0]
+        children: dict = {}
+        for row in group[group["src"].notna()].sort_values(["pos", "dst"]).itertuples():
+            children.setdefault(row.src, []).append(row.dst)
+        seen, order, open_ = {root}, [], [(root, iter(children.get(root, [])))]
+        while open_:
+            file, rest = open_[-1]
+            if (child := next((c for c in rest if c not in seen), None)) is None:
+                order.append(file)
+                open_.pop()
+            else:
+                seen.add(child)
+                open_.append((child, iter(children.get(child, []))))
+        return pd.DataFrame({"root": root, "file": order, "visit_ord": range(len(order))})
+
+    return reached.unionByName(start.select("root", *none)).groupBy("root").applyInPandas(walk, VISITS)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the session's spark.checkpoint.dir; a session on one machine without one uses a temporary folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

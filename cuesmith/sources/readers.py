@@ -25,6 +25,53 @@ def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(schemas.FRAMES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def read_blocks(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of raw audio blocks (schemas.BLOCKS) from Parquet files; a topic gives the same columns."""
+    return spark.readStream.schema(schemas.BLOCKS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+BLOCK_FORMATS = {"f32": "<f4", "i16": "<i2", "u16": "<u2"}
+
+
+def mono_samples(data: bytes, kind: str, channels: int) -> np.ndarray:
+    """A block's samples as one channel of 16-bit integers: floats are averaged, clamped to 1 and cut to integers, NaN is silence;
+    unsigned ones are shifted; integers are averaged towards zero. A last group with fewer channels is averaged over those it has."""
+    x = np.frombuffer(data[: len(data) - len(data) % np.dtype(BLOCK_FORMATS[kind]).itemsize], BLOCK_FORMATS[kind])
+    x = x if kind == "f32" else x.astype(np.int64) - (32_768 if kind == "u16" else 0)
+    size = max(channels, 1)
+    groups = -(-len(x) // size)
+    filled = np.zeros(groups * size, x.dtype)
+    filled[: len(x)] = x
+    count = np.full(groups, size)
+    if len(x) % size:
+        count[-1] = len(x) % size
+    total = np.zeros(groups, x.dtype)
+    for c in range(size):
+        total = total + filled[c::size]
+    if kind == "f32":
+        mean = np.clip(total / count.astype(np.float32), np.float32(-1), np.float32(1)) * np.float32(32_767)
+        return np.nan_to_num(np.trunc(mean), nan=0.0).astype(np.int16)
+    return (np.sign(total) * (np.abs(total) // count)).astype(np.int16)
+
+
+def frames_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Raw blocks (schemas.BLOCKS), a table or a stream, as frames (stream_id, pos, ts, rate, samples); the rate stays that of the block.
+
+    A null or empty block has no samples; a format other than f32, i16 and u16 raises an error, as does one without a format.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, channels, data = (batch.column(c).to_pylist() for c in ("format", "channels", "data"))
+            if unknown := {k for k in kinds if k not in BLOCK_FORMATS}:
+                raise ValueError(f"no sample format {sorted(map(str, unknown))}")
+            found = [mono_samples(d or b"", k, c or 1) for k, c, d in zip(kinds, channels, data, strict=True)]
+            samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int16)]), pa.int16()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("stream_id", "pos", "ts", "rate")), samples], names=["stream_id", "pos", "ts", "rate", "samples"])
+
+    return blocks.select("stream_id", "pos", "ts", "format", "channels", "rate", "data").mapInArrow(decode, "stream_id string, pos long, ts timestamp, rate int, samples array<smallint>")
+
+
 WAV = T.StructType(
     [
         T.StructField("path", T.StringType()),
