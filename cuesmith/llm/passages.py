@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -377,13 +377,36 @@ def _meet_shares(group: pa.Table, least: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], PART.names)
 
 
-def _open_parts(windows: DataFrame, links: DataFrame, texts: DataFrame, least: int, sublist: int) -> DataFrame | None:
-    """Candidates (a, b, la, ra, lb, rb) from lists whose windows lie in several components of links, every two components' windows
-    compared; None where there is no such list. Of a component's windows of equal content, one stands for all. Lists are dealt into
-    shares, and every two shares meet in a group of their own."""
-    reached = components(links).withColumnRenamed("node", "rid")
-    entries = windows.join(reached, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+def _node(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _both_ways(found: DataFrame) -> DataFrame:
+    """Verified rows seen from each side: (rid, start, end, other, other_start, other_end)."""
+    side = lambda x, y: found.select(F.col(x).alias("rid"), F.col(f"start_{x}").alias("start"), F.col(f"end_{x}").alias("end"), F.col(y).alias("other"), F.col(f"start_{y}").alias("other_start"), F.col(f"end_{y}").alias("other_end"))
+    return side("a", "b").unionByName(side("b", "a"))
+
+
+def _met_windows(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of windows (key, rid, c) of one list whose smallest shingles lie in one verified passage of the two texts."""
+    inside = lambda c, start, end: F.col(c).between(F.col(start), F.col(end) - WORDS)
+    held = found.select("a", "b", "start_a", "end_a", "start_b", "end_b").distinct()
+    one = windows.select("key", F.col("rid").alias("a"), F.col("c").alias("ca"))
+    other = windows.select("key", F.col("rid").alias("b"), F.col("c").alias("cb"))
+    met = one.join(held, "a").where(inside("ca", "start_a", "end_a")).join(other, ["key", "b"]).where(inside("cb", "start_b", "end_b"))
+    return met.select(_node("key", "a", "ca").alias("a"), _node("key", "b", "cb").alias("b"))
+
+
+def _open_parts(windows: DataFrame, found: DataFrame, texts: DataFrame, least: int, sublist: int) -> DataFrame | None:
+    """Candidates (a, b, la, ra, lb, rb) from lists whose windows verified passages don't hold together, every two components' windows
+    compared; None where there is no such list. Windows of a list are linked where one verified passage holds both their smallest
+    shingles: whatever else their texts share doesn't count. Of a component's windows of equal content, one stands for all. Lists are
+    dealt into shares, and every two shares meet in a group of their own."""
+    windows = save(windows.distinct())
+    reached = components(_met_windows(windows, found)).withColumnRenamed("node", "id")
+    entries = windows.withColumn("id", _node("key", "rid", "c")).join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     entries = save(entries.groupBy("key", "content", "component").agg(F.min(F.struct("rid", "l", "c", "r")).alias("w")).select("key", "component", "w.*"))
+    discard(windows)
     mixed = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("key", "many")
     entries = save(entries.join(mixed, "key"))
     if entries.isEmpty():
@@ -499,7 +522,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, sublist: int = SUBLIST) -> DataFrame:
-    """Pairs of documents with a near-duplicate passage: doc_id, other_id, the passages' words [start, end) in each, shared and total shingles.
+    """Pairs of documents with a near-duplicate passage: doc_id, other_id, the passages' words [start, end) in each, shared and total shingles,
+    and class_id, the same for all passages that rows link: a class's rows name every text that holds it, and where.
 
     Passages have at least `least_words` words on both sides, and their sets of 5-word shingles a Jaccard similarity of 0.75 or more.
 
@@ -512,9 +536,10 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str =
        99.5 %, one of four with 99.6 %; equal passages always meet. In longer lists windows of equal content meet one after another,
        and the first ones of each content meet neighbours in two orders, within sublists where hot.
     4. Candidates are verified on whole texts and cut to the runs that match best.
-    5. Long lists whose windows then still lie in several components are joined whole, share by share, every two components' windows
-       that share enough shingles around their smallest one; so no link between components is lost. Where a list holds very many mostly hot, yet different segments,
-       this join is quadratic in that list.
+    5. Within a long list, windows are linked where one verified passage holds both their smallest shingles. Long lists that these links
+       leave in several components are joined whole, share by share, every two components' windows that share enough shingles around
+       their smallest one; so no link between components is lost, whatever else the texts share. Where a list holds very many mostly
+       hot, yet different segments, this join is quadratic in that list.
 
     So texts that share a passage with up to 16 others have a row each; of more, all are reached over rows. Copies are pairs of their
     first row and each other row, whole. Documents without such a passage have no row. Null, empty and short texts have none. Repeated
@@ -533,17 +558,30 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str =
     met = save(one.select("rid", "text").mapInArrow(find, BLOB).groupBy("bucket").applyInArrow(_join_bucket, MEETING))
     found = save(_verified(_candidates(met.where("b is not null").drop("key")), texts, least))
     windows = met.where("b is null").select("key", F.col("a").alias("rid"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"), F.col("lb").alias("content"))
-    more = None if windows.isEmpty() else _open_parts(windows, found.select("a", "b").distinct(), texts, least, sublist)
+    more = None if windows.isEmpty() else _open_parts(windows, found, texts, least, sublist)
     if more is not None:
-        found = found.unionByName(_verified(more, texts, least))
+        found = save(found.unionByName(_verified(more, texts, least)).distinct())
+    found = _with_classes(found, least_words)
 
     firsts = texts.join(copies.select(F.col("first").alias("rid")).distinct(), "rid", "left_semi").select("rid", "text").mapInArrow(_whole, "rid long, words long, shingles long")
     zero, words = F.lit(0).cast("long"), F.col("words")
     same = copies.join(firsts.withColumnRenamed("rid", "first"), "first")
-    same = same.select(F.col("first_id").alias("doc_id"), F.col("doc_id").alias("other_id"), zero.alias("start_a"), words.alias("end_a"), zero.alias("start_b"), words.alias("end_b"), F.col("shingles").alias("shared"), F.col("shingles").alias("total"))
+    same = same.select(F.col("first_id").alias("doc_id"), F.col("doc_id").alias("other_id"), zero.alias("start_a"), words.alias("end_a"), zero.alias("start_b"), words.alias("end_b"), F.col("shingles").alias("shared"), F.col("shingles").alias("total"), F.xxhash64("first", zero, words).alias("class_id"))
     return found.drop("a", "b").unionByName(same)
 
 
+def _with_classes(found: DataFrame, least_words: int) -> DataFrame:
+    """Rows with class_id: one for all passages that rows link, or that lie in one text and have least_words words or more in common."""
+    spans = save(_both_ways(found).select("rid", "start", "end").distinct())
+    before = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = spans.withColumn("far", F.max(F.struct("end", "start")).over(before)).where(F.least("end", "far.end") - F.col("start") >= least_words)
+    one = furthest.select(_node("rid", "start", "end").alias("a"), _node("rid", "far.start", "far.end").alias("b"))
+    links = found.select(_node("a", "start_a", "end_a").alias("a"), _node("b", "start_b", "end_b").alias("b"))
+    reached = components(one.unionByName(links)).select(F.col("node").alias("id"), F.col("component").alias("class_id"))
+    discard(spans)
+    return found.withColumn("id", _node("a", "start_a", "end_a")).join(reached, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).drop("id")
+
+
 def _copies(known: DataFrame) -> DataFrame:
     """Rows (rid, doc_id, first, first_id) whose shingles equal those of an earlier row, the first of them."""
     first = known.groupBy("n", "high", "low").agg(F.min(F.struct("rid", "doc_id")).alias("f"), F.count("*").alias("m")).where("m > 1")

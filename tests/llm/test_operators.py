@@ -249,6 +249,43 @@ def test_passage_recall(spark, written):
     assert len(hits) > 120 and sum(hits) >= 0.98 * len(hits)
 
 
+@pytest.mark.parametrize("footers", [False, True])
+def test_passages_around_a_common_phrase(spark, written, footers):
+    """Pairs whose passages hold a phrase common to all texts, which may share a footer, too, and other passages besides."""
+    rng = random.Random(14)
+    phrase, footer, other = words(rng, 43, 40000).split(), words(rng, 60, 40000), [words(rng, 70, 40000) for _ in range(4)]
+    texts, whole = [], []
+    for i in range(60):
+        head, tail = words(rng, 14, 40000).split(), words(rng, 14, 40000).split()
+        passage, changed = [*head, *phrase, *tail], [*head[:-1], f"e{i}", *phrase, *tail[:-1], f"f{i}"]
+        a, b = brute.shingles(" ".join(passage)), brute.shingles(" ".join(changed))
+        whole.append(4 * len(a & b) >= 3 * len(a | b))
+        for k, w in enumerate((passage, changed)):
+            texts.append(" ".join([words(rng, 30, 40000), *w, words(rng, 40, 40000), *([other[(i + k) % 4], footer] if footers else [])]))
+    assert all(whole)
+    found = passages.near_duplicate_passages(written(frame(spark, texts), 4)).collect()
+    at = phrase[20]
+    place = [t.split().index(at) for t in texts]
+    pairs_ = {frozenset((r.doc_id, r.other_id)) for r in found if r.start_a <= place[r.doc_id] < r.end_a and r.start_b <= place[r.other_id] < r.end_b}
+    assert [frozenset((2 * i, 2 * i + 1)) in pairs_ for i in range(60)] == [True] * 60
+    if footers:
+        last = [len(t.split()) - 30 for t in texts]
+        classes = {r.class_id for r in found if r.start_a <= last[r.doc_id] < r.end_a}
+        members = {d for r in found if r.class_id in classes for d in (r.doc_id, r.other_id)}
+        assert len(classes) == 1 and members == set(range(120))
+
+
+def test_passage_classes(spark, written):
+    rng = random.Random(15)
+    shared, rare = words(rng, 70), words(rng, 60)
+    texts = [words(rng, 40) + " " + shared + " " + words(rng, 40) for _ in range(40)] + [words(rng, 50) + " " + rare for _ in range(3)]
+    found = passages.near_duplicate_passages(written(frame(spark, texts), 4)).collect()
+    members = defaultdict(set)
+    for r in found:
+        members[r.class_id] |= {r.doc_id, r.other_id}
+    assert sorted(map(len, members.values())) == [3, 40] and set(range(40)) in members.values()
+
+
 # ---------------------------------------------------------------- 3 exact dedup
 
 
