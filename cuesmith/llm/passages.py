@@ -405,10 +405,11 @@ def _open_parts(windows: DataFrame, found: DataFrame, texts: DataFrame, least: i
     windows = save(windows.distinct())
     reached = components(_met_windows(windows, found)).withColumnRenamed("node", "id")
     entries = windows.withColumn("id", _node("key", "rid", "c")).join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    entries = save(entries.groupBy("key", "content", "component").agg(F.min(F.struct("rid", "l", "c", "r")).alias("w")).select("key", "component", "w.*"))
+    grouped = save(entries.groupBy("key", "content", "component").agg(F.min(F.struct("rid", "l", "c", "r")).alias("w")).select("key", "component", "w.*"))
     discard(windows)
-    mixed = entries.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("key", "many")
-    entries = save(entries.join(mixed, "key"))
+    mixed = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo < hi").select("key", "many")
+    entries = save(grouped.join(mixed, "key"))
+    discard(grouped)
     if entries.isEmpty():
         return None
     per_text = entries.groupBy("rid").agg(F.collect_set(F.struct(*OPEN.names[:-1])).alias("windows"))
@@ -420,7 +421,9 @@ def _open_parts(windows: DataFrame, found: DataFrame, texts: DataFrame, least: i
     def meet(group: pa.Table) -> pa.Table:
         return _meet_shares(group, least)
 
-    return hot.groupBy("key", "x", "y").applyInArrow(meet, PART)
+    parts = save(hot.groupBy("key", "x", "y").applyInArrow(meet, PART))
+    discard(entries)
+    return parts
 
 
 # ---------------------------------------------------------------- verification
@@ -486,31 +489,68 @@ def _widest(parts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return kept
 
 
+def _clipped(data: np.ndarray, offsets: np.ndarray, low: list[int], high: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the bytes of its words low to high - 1."""
+    starts, ends, cut = words_of(data, offsets)
+    parts = []
+    for i, (a, b) in enumerate(zip(low, high, strict=True)):
+        last = min(cut[i] + b, cut[i + 1])
+        parts.append(data[starts[cut[i] + a] : ends[last - 1]])
+    return np.concatenate([np.zeros(0, np.uint8), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def _reach(parts: list[list[dict]], left: str, right: str) -> tuple[list[int], list[int]]:
+    """Of each row the words that the shingles of all its candidates take on one side: first and one past the last."""
+    return [min(p[left] for p in row) for row in parts], [max(p[right] for p in row) + WORDS for row in parts]
+
+
+def _clip_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates whose text_a is cut to the words that they need; from_a is the first one's number."""
+    for batch in batches:
+        data, at = text_buffers(batch.column("text_a"))
+        low, high = _reach(batch.column("parts").to_pylist(), "la", "ra")
+        for first, last in steps(at, STEP // 2):
+            found, cut = _clipped(data[at[first] : at[last]], at[first : last + 1] - at[first], low[first:last], high[first:last])
+            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(found)]).cast(pa.binary())
+            rest = [batch.column(c).slice(first, last - first) for c in ("a", "b", "id_a", "parts")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(low[first:last], pa.int64()), text], ["a", "b", "id_a", "parts", "from_a", "text_a"])
+
+
+CLIPPED = "a long, b long, id_a long, parts array<struct<la:long,ra:long,lb:long,rb:long>>, from_a long, text_a binary"
+
+
 def _passages(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Verified passages of candidate pairs, on the texts' own words. A candidate within another one is passed over."""
+    """Verified passages of candidate pairs, on the texts' own words, cut to those that the candidates need. A candidate within another
+    one is passed over."""
     for batch in batches:
         (x_data, x_at), (y_data, y_at) = (text_buffers(batch.column(c)) for c in ("text_a", "text_b"))
-        columns = [batch.column(c).to_pylist() for c in ("a", "b", "id_a", "id_b", "parts")]
+        columns = [batch.column(c).to_pylist() for c in ("a", "b", "id_a", "id_b", "from_a", "parts")]
+        low, high = _reach(columns[-1], "lb", "rb")
         rows = []
         for first, last in steps(x_at + y_at, STEP // 2):
             x, xc, _ = text_shingles(x_data[x_at[first] : x_at[last]], x_at[first : last + 1] - x_at[first])
-            y, yc, _ = text_shingles(y_data[y_at[first] : y_at[last]], y_at[first : last + 1] - y_at[first])
-            for i, (a, b, id_a, id_b, parts) in enumerate(zip(*(c[first:last] for c in columns), strict=True)):
+            y, yc, _ = text_shingles(*_clipped(y_data[y_at[first] : y_at[last]], y_at[first : last + 1] - y_at[first], low[first:last], high[first:last]))
+            for i, (a, b, id_a, id_b, from_a, parts) in enumerate(zip(*(c[first:last] for c in columns), strict=True)):
+                x0, y0 = xc[i] - from_a, yc[i] - low[first + i]
                 for la, ra, lb, rb in _widest([(p["la"], p["ra"], p["lb"], p["rb"]) for p in parts]):
-                    p, q = x[xc[i] + la : min(xc[i] + ra + 1, xc[i + 1])], y[yc[i] + lb : min(yc[i] + rb + 1, yc[i + 1])]
+                    p, q = x[x0 + la : min(x0 + ra + 1, xc[i + 1])], y[y0 + lb : min(y0 + rb + 1, yc[i + 1])]
                     for s, e, t, f, shared, total in similar_runs(p, q, least):
                         rows.append((a, b, id_a, id_b, la + s, la + e + WORDS - 1, lb + t, lb + f + WORDS - 1, shared, total))
         yield _table(rows, FOUND)
 
 
 def _verified(parts: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The passages of candidates (a, b, la, ra, lb, rb); each pair's candidates are one row."""
+    """The passages of candidates (a, b, la, ra, lb, rb), written; each pair's candidates are one row, which takes along the words of a
+    that they need, and then meets b's text."""
     candidates = save(parts.groupBy("a", "b").agg(F.collect_set(F.struct("la", "ra", "lb", "rb")).alias("parts")))
     needed = candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     texts = texts.join(needed, "rid", "left_semi")
     left = texts.select(F.col("rid").alias("a"), F.col("doc_id").alias("id_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rid").alias("b"), F.col("doc_id").alias("id_b"), F.col("text").alias("text_b"))
-    return candidates.join(left, "a").join(right, "b").mapInArrow(partial(_passages, least=least), FOUND).distinct()
+    clipped = candidates.join(left, "a").select("a", "b", "id_a", "parts", "text_a").mapInArrow(_clip_left, CLIPPED)
+    found = save(clipped.join(right, "b").mapInArrow(partial(_passages, least=least), FOUND).distinct())
+    discard(candidates)
+    return found
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -556,11 +596,13 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str =
     find = partial(_find_windows, buckets=buckets, least=least, keys=top["key"].to_numpy().astype(np.uint32), counts=top["n"].to_numpy().astype(np.int64), sublist=sublist)
     discard(looked)
     met = save(one.select("rid", "text").mapInArrow(find, BLOB).groupBy("bucket").applyInArrow(_join_bucket, MEETING))
-    found = save(_verified(_candidates(met.where("b is not null").drop("key")), texts, least))
+    found = _verified(_candidates(met.where("b is not null").drop("key")), texts, least)
     windows = met.where("b is null").select("key", F.col("a").alias("rid"), F.col("la").alias("l"), F.col("ca").alias("c"), F.col("ra").alias("r"), F.col("lb").alias("content"))
     more = None if windows.isEmpty() else _open_parts(windows, found, texts, least, sublist)
+    discard(met)
     if more is not None:
         found = save(found.unionByName(_verified(more, texts, least)).distinct())
+        discard(more)
     found = _with_classes(found, least_words)
 
     firsts = texts.join(copies.select(F.col("first").alias("rid")).distinct(), "rid", "left_semi").select("rid", "text").mapInArrow(_whole, "rid long, words long, shingles long")
