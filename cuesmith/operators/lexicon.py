@@ -64,11 +64,11 @@ def candidate_rules(texts: DataFrame, rules: DataFrame, key: str = "id") -> Data
     # plain classes only: a repeated group would recurse once a word, beyond the stack on long texts
     runs = F.split("text", r"[^A-Za-z0-9 \t\n\f\r]+")
     rows = texts.select(key, F.explode(runs).alias("_run")).select(key, F.filter(F.split(F.lower("_run"), r"[ \t\n\f\r]+"), lambda w: w != "").alias("_w")).where("size(_w) > 0")
-    # one row a word, with the words from there on that can take part
-    rows = rows.select(key, F.explode(F.transform("_w", lambda _, i: F.array_join(F.slice("_w", i + 1, LONGEST), " "))).alias("_t"))
+    # one row a word, with the words from there on that can take part: each has a letter, so no more than the longest key's letters
+    most = min(LONGEST, rules.agg(F.max(F.length("key"))).first()[0] or 0)
+    rows = rows.select(key, F.explode(F.transform("_w", lambda _, i: F.array_join(F.slice("_w", i + 1, most), " "))).alias("_t"))
     # twice the longest key's letters hold it with all its blanks; a word cut there makes a sequence that is longer than any key
-    most = F.least(F.lit(LONGEST), rules.agg(F.max(F.length("key"))).scalar())
-    rows = rows.withColumn("_t", F.substring("_t", F.lit(1), most * 2))
+    rows = rows.withColumn("_t", F.substring("_t", 1, most * 2))
     rows = rows.select(key, F.regexp_extract("_t", "^(?: ?[a-z0-9]){1,%d}(?![a-z0-9])" % LONGEST, 0).alias("_t")).where("_t <> ''")
     ends = F.split("_t", " ")
     grams = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda n: F.array_join(F.slice(ends, F.lit(1), n), ""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesmith.operators.segments import frames_in_capture
+
 HISTORY, TAIL_TOKENS = 5, 8
 SPECIAL = ("<s>", "</s>", "<unk>", "<NOISE>", "<CAT>")
 
@@ -168,12 +170,12 @@ def flag_results(transcripts: DataFrame) -> DataFrame:
     )
 
 
-def session_lines(results: DataFrame, captures: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Adds lines: the non-blank texts of a capture so far. results: (stream_id, ts, text); captures: start_ts <= ts < end_ts."""
-    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("end_ts").isNull() | (F.col("ts") < F.col("end_ts")))
-    rows = results.where(F.trim("text") != "").join(captures, key).where(inside)
-    own = Window.partitionBy(key, "capture_idx").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("lines", F.collect_list("text").over(own)).select(key, "capture_idx", "ts", "text", "lines")
+def session_lines(results: DataFrame, captures: DataFrame, key: str = "stream_id", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Adds lines: the non-blank texts of a capture so far. results: (stream_id, ts, text, ...); captures: start_ts <= ts < end_ts, an open
+    one takes all later results. The range join meets by stream and time bucket; order breaks ties in ts."""
+    rows = frames_in_capture(results.where(F.trim("text") != ""), captures.select(key, "capture_idx", "start_ts", "end_ts"), 0, key)
+    own = Window.partitionBy(key, "capture_idx").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("lines", F.collect_list("text").over(own)).select(*dict.fromkeys([key, "capture_idx", *order, "text", "lines"]))
 
 
 def english_spacing(words: DataFrame, key: str = "utt") -> DataFrame:

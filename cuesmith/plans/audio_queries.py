@@ -75,13 +75,13 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select vec_id, list_transform(embedding[1:5], lambda x: x::double) as e from embeddings),
+with s as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
 m as (select vec_id, e, list_max(e) as top from s),
 p as (select vec_id, e, list_transform(e, lambda x: exp(x - top)) as x, top from m),
 q as (select vec_id, list_transform(x, lambda v: v / list_sum(x)) as p, len(e) - list_position(list_reverse(e), top) as label from p)
 select vec_id, (case when label = 1 and p[1] / p[2] > 0.6 then 0 else label end)::int as label, round(p[1], 4) as p0, round(list_max(p), 4) as best from q
 """)
 def pick_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from five scores, after softmax."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", A.softmax(F.slice("embedding", 1, 5)).alias("p"))
+    """Labels from all scores of a row, after softmax."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", A.softmax(F.col("embedding")).alias("p"))
     return rows.select("vec_id", A.pick_label(F.col("p")).alias("label"), F.round(F.get("p", F.lit(0)), 4).alias("p0"), F.round(F.array_max("p"), 4).alias("best"))

@@ -97,3 +97,29 @@ def hotword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = terms.select(F.lower("word").alias("key"), F.lower("word").alias("word")).distinct().where(F.length("key").between(2, L.LONGEST))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return L.candidate_rules(texts, rules).select(F.col("id").alias("doc_id"), "key")
+
+
+@query("""
+with files as (select 'common' as file, -1 as r, -1 as n union all select n_name, n_regionkey, n_nationkey from nation
+               union all select r_name, r_regionkey, 1000000 from region union all select 'world', 1000000, 1000000)
+select 'world' as root, file, (row_number() over (order by r, n) - 1)::int as visit_ord from files
+""")
+def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon that imports regions, which import nations, which all import one file and the lexicon again: in the order of their visits."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    edge = lambda df, src, dst, pos: df.select(src.alias("src"), dst.alias("dst"), pos.cast("int").alias("pos"))
+    zero, one = F.lit(0), F.lit(1)
+    edges = edge(region, F.lit("world"), F.col("r_name"), F.col("r_regionkey"))
+    edges = edges.unionByName(edge(nation.join(region, nation.n_regionkey == region.r_regionkey), F.col("r_name"), F.col("n_name"), F.col("n_nationkey")))
+    edges = edges.unionByName(edge(nation, F.col("n_name"), F.lit("common"), zero)).unionByName(edge(nation, F.col("n_name"), F.lit("world"), one))
+    return L.resolve_imports(edges, spark.range(1).select(F.lit("world").alias("root")))
+
+
+@query(rf"select doc_id, sha256(case when doc_id % 3 = 0 then t else regexp_replace(t, '[\s\x0B\p{{Z}}]*[{X.PERIODS}][\s\x0B\p{{Z}}]*$', '') end) as text_sha256 from (select doc_id, {_rewritten('text')} as t from documents)")
+def finished_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through the chain of a final text: rewrites, hotword forms, marks, and for two of three the last period."""
+    rules = sorted(TERMS.items(), key=lambda t: (-len(t[0]), t[0]))
+    rewrites = F.array(*[F.struct(F.lit(a).alias("from_text"), F.lit(b).alias("to_text")) for a, b in rules])
+    hotwords = F.array(F.struct(F.lit("zqxzq").alias("key"), F.lit("ZQXzq").alias("word")))
+    text = X.finish_text(F.col("text"), rewrites, hotwords, final=F.col("doc_id") % 3 != 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"))

@@ -12,6 +12,12 @@ from cuesmith.plans.catalog import query, table
 from cuesmith.plans.clause_queries import _digit_words
 from cuesmith.plans.number_queries import ZH, _english, _spelled
 
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: a small file is one task, and its rows are much work each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 RULES = (("东西", "物品"), ("品多", "品太多"), ("千克", "公斤"), ("嗯", ""))
 
 
@@ -67,7 +73,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.concat(lit("要保"), read, lit(" 元")), F.concat_ws(" ", lit("O O"), _tagged(read, "A"), lit("O"))),
     ]
     pick = lambda of: F.coalesce(*[F.when(kind == i, of(s)) for i, s in enumerate(said)])
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.split(pick(lambda s: s[0]), " ").alias("tokens"), F.split(pick(lambda s: s[1]), " ").alias("num_labels"))
+    rows = _spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", "o_custkey", F.split(pick(lambda s: s[0]), " ").alias("tokens"), F.split(pick(lambda s: s[1]), " ").alias("num_labels"))
     n = F.size("tokens")
     at_call = F.length(key.cast("string"))  # the last digit of a call
 
@@ -98,7 +104,7 @@ from b group by conv_id, turn
 """)
 def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole conversation turns as spoken ASCII words with the marks after them as labels: clauses, capitals, blanks and marks."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]+[^A-Za-z]?"), F.lit(0)).alias("w")).where("size(w) > 0")
+    turns = _spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]+[^A-Za-z]?"), F.lit(0)).alias("w")).where("size(w) > 0")
     label = lambda x: F.when(F.endswith(x, F.lit(",")), 1).when(F.endswith(x, F.lit(".")), 2).when(F.endswith(x, F.lit("!")), 3).when(F.endswith(x, F.lit("?")), 4).otherwise(0)
     rows = turns.select("conv_id", "turn", F.transform("w", lambda x: F.regexp_extract(x, "^[A-Za-z]+", 0)).alias("tokens"), F.array().cast("array<string>").alias("num_labels"), F.transform("w", label).alias("mark_labels"))
     return transcripts.normalise_transcripts(rows).select("conv_id", "turn", "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesmith.operators import captions as C
 from cuesmith.operators import segments as S
 from cuesmith.operators import updates as U
 from cuesmith.plans.catalog import query, table
@@ -300,3 +301,27 @@ def active_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = U.with_active(U.commit_sessions(rows.where("not last")), rows.where("last"))
     total = F.aggregate("token_timestamps", F.lit(0.0), lambda a, t: a + t)
     return found.select("session_id", F.sha2("text", 256).alias("text_sha256"), F.size("tokens").alias("n_tokens"), F.round(total, 4).alias("ts_sum"), F.round("confidence", 4).alias("confidence"))
+
+
+@query(f"""
+with {_CAPTURES},
+n as (select *, (row_number() over (partition by stream_id order by start_ts) - 1)::int as capture_idx from holds),
+r as (select e.user_id as stream_id, n.capture_idx, e.ts, e.event_id, e.event_id::varchar as text from events e join n on e.user_id = n.stream_id and e.ts >= n.start_ts and (n.end_ts is null or e.ts < n.end_ts)
+      where e.event_type = 'view' and e.event_id % 7 <> 0)
+select stream_id, capture_idx, event_id, string_agg(text, ',') over (partition by stream_id, capture_idx order by ts, event_id rows between unbounded preceding and current row) as lines from r
+""")
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as results within users' captures, every seventh blank: the lines that each one makes the transcript."""
+    views = table(spark, sf_dir, "events").where("event_type = 'view'")
+    results = views.select(F.col("user_id").alias("stream_id"), "ts", "event_id", F.when(F.col("event_id") % 7 == 0, " ").otherwise(F.col("event_id").cast("string")).alias("text"))
+    captures = S.capture_sessions(_capture_events(spark, sf_dir), "hold")
+    return U.session_lines(results, captures, order=("ts", "event_id")).select("stream_id", "capture_idx", "event_id", F.array_join("lines", ",").alias("lines"))
+
+
+@query("""
+with g as (select vec_id, list_sort(list_filter(list_transform(range(2, len(embedding) + 1), lambda i: embedding[i]::double - embedding[i - 1]::double), lambda d: d > 0)) as g from embeddings)
+select vec_id, case when len(g) = 0 then 0.3 else least(greatest(g[len(g) // 2 + 1], 0.08), 0.8) end::double as step from g
+""")
+def token_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual step between a row's values, as if they were token times."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", C.token_step(F.col("embedding").cast("array<double>")).alias("step"))
