@@ -58,5 +58,5 @@ def test_stages(spark, tables):
 
 def test_registered(spark, tables):
     names = __spark_entry__.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert names["pipeline"](spark, tables[0]).count() > 30
