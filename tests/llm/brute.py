@@ -22,6 +22,30 @@ def repetition(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
+def repetition_verdict(text, ngrams, line_limit, line_char_limit):
+    """(largest share of word characters in later n-grams, share of later lines, share of their characters, kept)."""
+    w = WORD.findall(text)
+    total, over, worst = max(sum(map(len, w)), 1), False, 0.0
+    for n, limit in ngrams.items():
+        seen, covered = set(), set()
+        for i in range(len(w) - n + 1):
+            gram = tuple(w[i : i + n])
+            if gram in seen:
+                covered |= set(range(i, i + n))
+            seen.add(gram)
+        share = sum(len(w[i]) for i in covered) / total
+        worst, over = max(worst, share), over or share > limit
+    lines, seen, again = [x for x in text.split("\n") if WORD.search(x)], set(), []
+    for x in lines:
+        if x in seen:
+            again.append(x)
+        seen.add(x)
+    by_line, by_char = len(again) / max(len(lines), 1), sum(map(len, again)) / max(sum(map(len, lines)), 1)
+    n_words, _, _, _, repeated = repetition(text)
+    failed = n_words < 20 or 100 * repeated > 30 * n_words
+    return worst, by_line, by_char, not (failed or over or by_line > line_limit or by_char > line_char_limit)
+
+
 def shingles(text):
     w = [x.translate(LOWER) for x in WORD.findall(text or "")]
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())

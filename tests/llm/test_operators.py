@@ -354,6 +354,22 @@ def test_repetition(messy, empty, repeated):
     assert repetition.repetition_report(empty).count() == 0 and repetition.repetition_report(repeated).count() == 44
 
 
+def test_repetition_verdict():
+    rng = random.Random(21)
+    texts = [t or "" for t in messy_texts() if len(t or "") < 20000]
+    for _ in range(250):
+        block, lines = words(rng, rng.randrange(3, 30), 300), []
+        for _ in range(rng.randrange(1, 9)):
+            lines.append(block if rng.random() < 0.3 else words(rng, rng.randrange(40), rng.choice((20, 4000))))
+        texts.append(rng.choice(("\n", "\n\n", " \n", " ")).join(lines))
+    found = repetition.measure(*common.text_buffers(pa.array(texts)))
+    kept = [bool(k) for k in found["kept"]]
+    for i, t in enumerate(texts):
+        *shares, keep = brute.repetition_verdict(t, repetition.NGRAM_LIMITS, repetition.LINE_LIMIT, repetition.LINE_CHAR_LIMIT)
+        assert np.allclose([found[c][i] for c in ("dup_ngram_chars", "dup_lines", "dup_line_chars")], shares) and kept[i] == keep
+    assert 30 < sum(kept) < len(kept) - 30
+
+
 def test_repetition_in_steps(messy):
     texts = [t for _, t in pairs(messy)]
     data, offsets = common.text_buffers(pa.array(texts))
