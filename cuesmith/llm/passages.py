@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -322,14 +323,14 @@ def _join_bucket(group: pa.Table) -> pa.Table:
 
 
 def _near(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Open windows with 16 bits of each shingle that a run of `least` around the window's smallest one can reach (0: none there)."""
+    """Open windows with 32 bits of each shingle that a run of `least` around the window's smallest one can reach (0: none there)."""
     for batch in batches:
         tokens, cut, _ = text_shingles(*text_buffers(batch.column("text")))
-        tokens, rows = np.maximum(tokens >> U64(40) & U64(0xFFFF), U64(1)).astype("<u2"), []
+        tokens, rows = np.maximum(tokens >> U64(32), U64(1)).astype("<u4"), []
         for i, windows in enumerate(batch.column("windows").to_pylist()):
             for w in windows:
                 lo, hi = max(w["l"], w["c"] - least + 1), min(w["r"], w["c"] + least - 1)
-                near = np.zeros(2 * least - 1, "<u2")
+                near = np.zeros(2 * least - 1, "<u4")
                 at = lo - w["c"] + least - 1
                 near[at : at + hi - lo + 1] = tokens[cut[i] + lo : cut[i] + hi + 1]
                 rows.append((*[w[c] for c in OPEN.names[:-1]], near.tobytes()))
@@ -349,32 +350,58 @@ def fewest_shared(least: int) -> int:
     return -(-PERCENT * 2 * least // (100 + PERCENT))
 
 
+def _similar(p: list[int], run: set[int], least: int) -> bool:
+    """Whether the `least` places in a row of p that lie in run most often are so similar to it that one false match can't matter."""
+    first, last = next(i for i, v in enumerate(p) if v), len(p) - next(i for i, v in enumerate(reversed(p)) if v)
+    held = [0, *accumulate(v in run for v in p)]
+    s = max(range(first, last - least + 1), key=lambda i: held[i + least] - held[i])
+    one = set(p[s : s + least])
+    return 100 * (len(one & run) - 1) >= PERCENT * (len(one | run) + 1)
+
+
 def _meet_shares(group: pa.Table, least: int) -> pa.Table:
     """Windows of one share that may hold a passage of one in another share: of other components, with a run of `least` places around the
     one's smallest shingle that the other holds nearly as many of as similar runs share (two fewer). A longer similar passage holds such
-    a run, too, which meets in the list of its own smallest shingle."""
+    a run, too, which meets in the list of its own smallest shingle. Two windows whose runs are similar are one component from then on, as
+    their passage holds both smallest shingles; so near copies give a forest of candidates, the same one in all lists, which rows' order decides."""
+    order = np.lexsort((group.column("l").to_numpy(), group.column("rid").to_numpy()))
+    group = group.take(pa.array(order))
     column = lambda c: group.column(c).to_numpy()
-    share, rid, component, l, r = (column(c) for c in ("share", "rid", "component", "l", "r"))
-    near = np.frombuffer(b"".join(group.column("near").to_pylist()), "<u2").reshape(len(rid), 2 * least - 1)
+    share, rid, l, r = (column(c) for c in ("share", "rid", "l", "r"))
+    label = np.unique(column("component"), return_inverse=True)[1]
+    near = np.frombuffer(b"".join(group.column("near").to_pylist()), "<u4").reshape(len(rid), 2 * least - 1)
+    small = np.where(near > 0, np.maximum(near >> np.uint32(16), 1), 0).astype(np.uint16)
+    outside = np.zeros((len(rid), 2 * least), np.int16)
+    np.cumsum(near == 0, axis=1, out=outside[:, 1:])
+    cut = outside[:, least:] > outside[:, :-least]
     same = group.column("x")[0] == group.column("y")[0]
     left, right = np.flatnonzero(share == group.column("x")[0].as_py()), np.flatnonzero(share == group.column("y")[0].as_py())
-    enough, found, held = fewest_shared(least) - 2, [np.zeros((6, 0), np.int64)], np.zeros(1 << 16, bool)
+    enough, found, held = fewest_shared(least) - 2, [], np.zeros(1 << 16, bool)
     for i in left:
-        j = right[component[right] > component[i] if same else component[right] != component[i]]
-        if not len(j):
+        others = right[right > i] if same else right
+        others = others[label[others] != label[i]]
+        if not len(others):
             continue
-        held[near[i]] = True
+        held[small[i]] = True
         held[0] = False
-        for at in range(0, len(j), 1 << 13):
-            q = j[at : at + (1 << 13)]
+        own = near[i].tolist()
+        for at in range(0, len(others), 1 << 13):
+            q = others[at : at + (1 << 13)]
             total = np.zeros((len(q), 2 * least), np.int16)
-            np.cumsum(held[near[q]], axis=1, out=total[:, 1:])
-            q = q[(total[:, least:] - total[:, :least]).max(axis=1) >= enough]
-            p = np.full(len(q), i)
-            a, b = np.where(rid[p] < rid[q], p, q), np.where(rid[p] < rid[q], q, p)
-            found.append(np.stack([rid[a], rid[b], l[a], r[a], l[b], r[b]]))
-        held[near[i]] = False
-    return pa.Table.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], PART.names)
+            np.cumsum(held[small[q]], axis=1, out=total[:, 1:])
+            shared = np.where(cut[q], -1, total[:, least:] - total[:, :-least])
+            run = shared.argmax(axis=1)
+            some = np.flatnonzero(shared[np.arange(len(q)), run] >= enough)
+            for j, t in zip(q[some].tolist(), run[some].tolist(), strict=True):
+                if label[j] == label[i]:
+                    continue
+                a, b = (i, j) if rid[i] < rid[j] else (j, i)
+                found.append((rid[a], rid[b], l[a], r[a], l[b], r[b]))
+                if _similar(own, set(near[j, t : t + least].tolist()), least):
+                    label[label == label[j]] = label[i]
+        held[small[i]] = False
+    parts = np.unique(np.array(found, np.int64).reshape(-1, 6), axis=0)
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in parts.T], PART.names)
 
 
 def _node(*columns: str) -> Column:
@@ -578,7 +605,7 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text: str =
     4. Candidates are verified on whole texts and cut to the runs that match best.
     5. Within a long list, windows are linked where one verified passage holds both their smallest shingles. Long lists that these links
        leave in several components are joined whole, share by share, every two components' windows that share enough shingles around
-       their smallest one; so no link between components is lost, whatever else the texts share. Where a list holds very many mostly
+       their smallest one; windows that turn out similar are one component for the rest of their shares; so no link between components is lost, whatever else the texts share. Where a list holds very many mostly
        hot, yet different segments, this join is quadratic in that list.
 
     So texts that share a passage with up to 16 others have a row each; of more, all are reached over rows. Copies are pairs of their
