@@ -218,32 +218,6 @@ def test_passages_of_hot_lists(spark, written):
         assert [find(i) for i in range(240)] == [i % 8 for i in range(240)] and {find(i) for i in range(240, 320)} == {240}
 
 
-@pytest.mark.parametrize("across", [False, True])
-def test_shares_give_a_forest(across):
-    """Windows of one list: near copies of three kinds and loners. The candidates tie each kind together, are a forest, and tie nothing else."""
-    rng, least = np.random.default_rng(9), 46
-    kinds = [rng.integers(1 << 16, 1 << 32, 2 * least - 1, dtype=np.uint64).astype("<u4") for _ in range(3)]
-    near, kind = [], []
-    for i in range(90):
-        w = kinds[i % 3].copy()
-        w[rng.integers(0, 2 * least - 1, 2)] = rng.integers(1 << 16, 1 << 32, 2)
-        near.append(w.tobytes())
-        kind.append(i % 3)
-    near += [rng.integers(1 << 16, 1 << 32, 2 * least - 1, dtype=np.uint64).astype("<u4").tobytes() for _ in range(10)]
-    kind += range(3, 13)
-    n, order = len(near), rng.permutation(len(near))
-    share = order % 2 if across else np.zeros(n, np.int64)
-    group = pa.table({"key": np.ones(n, np.int64), "x": np.zeros(n, np.int64), "y": np.full(n, int(across)), "share": share, "rid": order, "component": order, "l": np.zeros(n, np.int64), "r": np.full(n, 90), "near": [near[i] for i in order]})
-    parts = passages._meet_shares(group, least).to_pylist()
-    assert len(parts) == 3 * 29 and all(kind[p["a"]] == kind[p["b"]] and p["a"] < p["b"] for p in parts)
-    reached = {a: {a} for a in range(n)}
-    for p in parts:
-        both = reached[p["a"]] | reached[p["b"]]
-        for x in both:
-            reached[x] = both
-    assert len({id(s) for s in map(reached.get, range(90))}) == 3
-
-
 def test_open_lists(spark, written):
     """Phrases of 40 words in many texts: the few pairs whose surroundings are alike are found among all of a list that stays open."""
     rng = random.Random(8)
