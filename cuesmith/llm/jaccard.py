@@ -316,8 +316,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, LINK)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None, sublist: int = SUBLIST) -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rid: str | None = None, sublist: int = SUBLIST, with_component: bool = False) -> DataFrame:
+    """One row per row of docs: rid, doc_id, n_shingles, component_id (the smallest doc_id that links reach); with_component adds
+    component, which tells components apart where doc_ids are null or repeated (null: a text without words).
 
     A document's set is its distinct 5-word shingles of A-Z-lower-cased words (fewer words: the whole sequence as one). Two link when
     their Jaccard similarity is 0.75 or more. The join is exact but for 64-bit hash collisions:
@@ -373,8 +374,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     named = classes.join(reached.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    out = known.join(named.select("high", "low", "n", "component_id"), ["high", "low", "n"], "left")
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = known.join(named.select("high", "low", "n", "component_id", "component"), ["high", "low", "n"], "left")
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["component"] * with_component)
 
 
 def _open_pairs(met: DataFrame, of: DataFrame, reached: DataFrame, parity: DataFrame, small: int, sublist: int) -> DataFrame | None:
@@ -455,7 +456,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     while name in docs.columns:
         name += "_"
     numbered = row_ids(docs, name)
-    found = near_duplicates(numbered, id_col, text, rid=name)
+    found = near_duplicates(numbered, id_col, text, rid=name, with_component=True)
     wordless = F.when(F.col("n_shingles") == 0, F.col("rid"))
-    stays = save(found.groupBy("component_id", wordless.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias(name)).select(name))
+    stays = save(found.groupBy("component", wordless.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias(name)).select(name))
     return numbered.join(stays, name, "left_semi").drop(name)

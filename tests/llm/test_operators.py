@@ -516,6 +516,14 @@ def test_jaccard_hot_lists(spark, written):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, sublist=20).collect()} == want
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, written):
+    """Unlike texts stay though their ids are null or equal; of linked ones, one stays."""
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows_ = [(None, one), (None, two), (None, two + " c"), (7, " ".join(f"d{i}" for i in range(30))), (7, " ".join(f"e{i}" for i in range(30))), (None, None), (None, "")]
+    kept = jaccard.drop_near_duplicates(written(spark.createDataFrame(rows_, "doc_id long, text string"), 2)).collect()
+    assert len(kept) == 6 and sum((r.text or "").startswith("b0") for r in kept) == 1
+
+
 def test_jaccard_isolated_pairs_of_hot_passages(spark, written):
     """Two documents each of any four of nine blocks, in other orders: pairs that nothing but hot shingles links, and no chain."""
     rng = random.Random(31)
