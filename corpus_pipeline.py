@@ -11,22 +11,27 @@ from cuesmith.llm.common import save
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules keep. Null, empty and short texts go; repeated rows are judged alike; no rows give none."""
     return repetition.keep_unrepetitive(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id; null and empty texts are equal. Repeated rows leave one; no rows give none."""
     return exact.drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked texts, that of the smallest doc_id, nulls last; texts without words stay. No rows give none."""
     return jaccard.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, the last one cut. Null sources are one source; texts without words go; no rows give none."""
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows. Null and empty texts are the end id alone; repeated rows are packed each; no rows give none."""
     return packing.pack(docs, queries.vocabulary(), end_id=2)
 
 
