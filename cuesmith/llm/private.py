@@ -23,8 +23,10 @@ PATTERNS = {
 #: A part of at most 255 in an address.
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TERM = r"\p{L}+"
-#: Letters of a term, distinct texts that must hold entity and term, and the share of an entity's information that a term may reveal.
-LEAST_LETTERS, LEAST_TEXTS, DISCLOSURE = 1, 3, 0.9
+#: Letters of a term, what is taken off a count of texts that hold entity and term, and the share of an entity's information that a term may reveal.
+LEAST_LETTERS, DISCOUNT, DISCLOSURE = 1, 0.5, 0.9
+#: What each kind's values are grouped by: an email's host, a network's two first parts, a card's issuer, a number's first digits.
+GROUPS = {"email": "@.*$", "ip": r"^[0-9]+\.[0-9]+\.", "card": "^[0-9]{6}", "phone": "^[0-9]{5}"}
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -70,28 +72,43 @@ def entity_spans(found: DataFrame) -> DataFrame:
     return placed.where(_valid(F.col("kind"), F.col("value"))).select("rid", "kind", "start", "end", "value")
 
 
-def disclosing_terms(texts: DataFrame, found: DataFrame, spans: DataFrame, least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(entity, term) pairs in which the term reveals too much of the entity, and the texts (rid, entity, text) that hold entities.
+def _entities(spans: DataFrame) -> DataFrame:
+    """Rows (rid, entity), each once: every value found and the group it belongs to."""
+    kind = F.col("kind")
+    value = F.when(kind == 0, F.lower("value")).when(kind == 1, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", ""))
+    named = spans.select("rid", "kind", value.alias("value"))
+    group = F.lit(None)
+    for k, name in enumerate(KINDS[:4]):
+        group = F.when(kind == k, F.regexp_extract("value", GROUPS[name], 0)).otherwise(group)
+    entity = F.explode(F.array(F.concat_ws(":", kind, "value"), F.concat_ws(":", kind, F.lit("group"), group)))
+    return named.select("rid", entity.alias("entity")).distinct()
 
-    An entity is a value found, in lower case or its digits. A term reveals log2 p(e, t) / (p(e) p(t)) of the -log2 p(e) bits that the
-    entity holds; probabilities are shares of all rows of texts, for every entity and term. Pairs are judged where at least `least_texts` different
-    texts hold both, so that a text and its exact copies don't make all their words suspect.
+
+def disclosing_terms(texts: DataFrame, found: DataFrame, spans: DataFrame, discount: float = DISCOUNT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+    """Terms that reveal too much of an entity in a text that holds both, rows (rid, term), and the texts (rid, text) that hold entities.
+
+    An entity is a value found, in lower case or its digits, or the group of values that it belongs to (GROUPS), which is shared by more
+    texts. Of the -log2 p(e) bits that an entity holds a term reveals log2 p(e | t) - log2 p(e). All counts are of different texts, so
+    that copies are no evidence, and `discount` is taken off the texts that hold both, so that a term met once tells less than one met
+    often. Entities that the same texts hold are judged as one: a list of addresses doesn't meet each of its words once an address.
     """
-    name = F.concat(F.col("kind").cast("string"), F.lit(":"), F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == 1, F.col("value")).otherwise(F.regexp_replace("value", "[^0-9]", "")))
-    entities = save(spans.select("rid", name.alias("entity")).distinct())
-    holders = save(entities.groupBy("rid").agg(F.collect_set("entity").alias("entities")).join(found.select("rid", "text"), "rid").withColumn("mark", F.xxhash64("text")))
-    often = holders.select(F.explode("entities").alias("entity"), "rid", "mark").groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("mark").alias("texts")).where(F.col("texts") >= least_texts).drop("texts")
-    # only entities of enough texts meet their texts' terms
-    judged = entities.join(often, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("judged"))
-    words = _terms(holders.join(judged, "rid").select("judged", "mark", "text"), "judged", "mark")
-    pairs = words.select(F.inline("judged"), "mark", "term")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("mark").alias("texts"), F.first("n_entity").alias("n_entity")).where(F.col("texts") >= least_texts)
-    pairs = save(pairs)
-    counts = _terms(texts).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = texts.count()
-    share = F.col("n_entity") / F.lit(max(total, 1))
-    reveals = F.col("n_both") / F.col("n_term") >= F.pow(share, F.lit(1.0 - disclosure))
-    return save(pairs.join(counts, "term").where(reveals).select("entity", "term")), holders
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    firsts = save(texts.groupBy("mark").agg(F.min("rid").alias("rid")).select("rid"))
+    entities = save(_entities(spans))
+    holders = save(found.select("rid", "text").join(entities.select("rid").distinct(), "rid", "left_semi"))
+    once = save(holders.join(firsts, "rid", "left_semi"))
+    # what the texts of an entity are: their number and two sums over their ids' bits
+    held = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("rid")), F.bit_xor(F.xxhash64("rid", F.lit(1))))
+    classes = entities.join(once.select("rid"), "rid", "left_semi").groupBy("entity").agg(held.alias("held"), F.count("*").alias("n_entity"))
+    of_text = save(entities.join(classes, "entity").select("rid", "held", "n_entity").distinct())
+    judged = of_text.groupBy("rid").agg(F.collect_list(F.struct("held", "n_entity")).alias("judged"))
+    pairs = _terms(once.join(judged, "rid"), "judged").select(F.inline("judged"), "term")
+    pairs = pairs.groupBy("held", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
+    counts = _terms(texts.join(firsts, "rid", "left_semi")).groupBy("term").agg(F.count("*").alias("n_term"))
+    share = F.col("n_entity") / F.lit(max(firsts.count(), 1))
+    reveals = (F.col("n_both") - F.lit(discount)) / F.col("n_term") >= F.pow(share, F.lit(1.0 - disclosure))
+    told = save(pairs.join(counts, "term").where(reveals).select("held", "term"))
+    return save(_terms(holders, "rid").join(told, "term").join(of_text, ["rid", "held"], "left_semi").select("rid", "term").distinct()), holders
 
 
 def _terms(texts: DataFrame, *keep: str) -> DataFrame:
@@ -100,14 +117,20 @@ def _terms(texts: DataFrame, *keep: str) -> DataFrame:
     return words.where(F.length("term") >= LEAST_LETTERS)
 
 
-def term_spans(holders: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Where disclosing terms stand in the texts that hold the entities they reveal: rows (rid, kind, start, end)."""
-    told = holders.select("rid", F.explode("entities").alias("entity")).join(pairs, "entity").select("rid", "term").distinct()
+def term_spans(holders: DataFrame, told: DataFrame) -> DataFrame:
+    """Where the terms (rid, term) stand in their texts: rows (rid, kind, start, end)."""
     texts = holders.join(told.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(_found(F.col("text"), len(KINDS) - 1, TERM)).alias("m")).select("rid", "m.*")
     placed = _placed(texts).withColumn("term", F.lower("value"))
     return placed.join(told, ["rid", "term"]).select("rid", "kind", "start", "end")
 
 
+def _outside(spans: Column) -> Column:
+    """The spans without terms inside others: an address's own letters aren't terms beside it."""
+    base = F.filter(spans, lambda s: s["kind"] < len(KINDS) - 1)
+    last = F.lit(len(KINDS) - 1)
+    return F.filter(spans, lambda s: (s["kind"] != last) | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
@@ -117,21 +140,21 @@ def _is(kind: int):
     return lambda k: k == kind
 
 
-def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def private_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", discount: float = DISCOUNT, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of docs: rid, doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and `found` (kind, start, end) in order.
 
     Emails, addresses, card numbers and phone numbers are found by pattern in every whole text; kinds may overlap one another. Terms that reveal
-    an entity (disclosing_terms) are spans of kind `term` in the texts that hold that entity; texts without personal data stay as they
-    are. Null and empty texts have none. Repeated rows have equal spans. Other columns aren't read. docs must be a plain scan. Spans are
+    an entity (disclosing_terms) are spans of kind `term` in the texts that hold that entity, outside of its other spans; texts without
+    personal data stay as they are. Null and empty texts have none. Repeated rows have equal spans. Other columns aren't read. docs must be a plain scan. Spans are
     in code points, end exclusive.
     """
     rows = row_ids(docs).select("rid", F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     texts = rows.where("text is not null").select("rid", "text")
     found = save(matched(texts))
     base = save(entity_spans(found))
-    pairs, holders = disclosing_terms(texts, found, base, least_texts, disclosure)
-    spans = base.select("rid", "kind", "start", "end").unionByName(term_spans(holders, pairs))
-    per_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
+    told, holders = disclosing_terms(texts, found, base, discount, disclosure)
+    spans = base.select("rid", "kind", "start", "end").unionByName(term_spans(holders, told))
+    per_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found")).withColumn("found", _outside(F.col("found")))
     out = rows.select("rid", "doc_id").join(per_row, "rid", "left")
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")
     kinds = F.transform("found", lambda s: s["kind"])

@@ -147,16 +147,19 @@ base as (select * from placed where case kind when 0 then true
   when 1 then list_max(list_transform(string_split(v, '.'), lambda x: x::hugeint)) <= 255
   when 2 then length(d) between 13 and 19 and list_sum(list_transform(range(length(d)), lambda i: case when i % 2 = 1 then 2 * d[length(d) - i]::int // 10 + 2 * d[length(d) - i]::int % 10 else d[length(d) - i]::int end)) % 10 = 0
   else length(d) between 9 and 15 end),
-ent as (select distinct doc_id, kind || ':' || (case kind when 0 then lower(v) when 1 then v else d end) as entity from base),
-often as (select entity, count(*) as n_entity from ent join docs using (doc_id) group by entity having count(distinct text) >= {private.LEAST_TEXTS}),
+named as (select doc_id, kind, case kind when 0 then lower(v) when 1 then v else d end as v from base),
+ent as (select distinct doc_id, unnest([kind || ':' || v, kind || ':group:' || case kind when 0 then v[strpos(v, '@'):] when 1 then split_part(v, '.', 1) || '.' || split_part(v, '.', 2) || '.' when 2 then v[:6] else v[:5] end]) as entity from named),
+sizes as (select entity, count(distinct text) as n_entity from ent join docs using (doc_id) group by entity),
 terms as (select * from (select doc_id, text, unnest(list_distinct(regexp_split_to_array(lower(text), '\P{{L}}+'))) as term from docs) where length(term) >= {private.LEAST_LETTERS}),
-pairs as (select entity, term, count(*) as n_both, any_value(n_entity) as n_entity from ent join often using (entity) join terms using (doc_id) group by entity, term having count(distinct text) >= {private.LEAST_TEXTS}),
-counts as (select term, count(*) as n_term from terms group by term),
-told as (select entity, term from pairs join counts using (term) where n_both / n_term >= pow(n_entity / (select count(text) from documents), {1.0 - private.DISCLOSURE})),
+pairs as (select entity, term, count(distinct text) as n_both from ent join terms using (doc_id) group by entity, term),
+counts as (select term, count(distinct text) as n_term from terms group by term),
+told as (select entity, term from pairs join sizes using (entity) join counts using (term)
+  where (n_both - {private.DISCOUNT}) / n_term >= pow(n_entity / (select count(distinct text) from documents), {1.0 - private.DISCLOSURE})),
 per as (select distinct doc_id, term from ent join told using (entity)),
 words as (select doc_id, 4 as kind, regexp_extract_all(text, '\p{{L}}+') as v, regexp_split_to_array(text, '\p{{L}}+') as g from docs where doc_id in (select doc_id from per)),
 {_placed_sql("word", "words")},
-spans as (select doc_id, kind, s, e from base union all select word.doc_id, kind, s, e from word join per on word.doc_id = per.doc_id and lower(v) = term)
+spans as (select doc_id, kind, s, e from base union all select word.doc_id, kind, s, e from word join per on word.doc_id = per.doc_id and lower(v) = term
+  where not exists (select 1 from base b where b.doc_id = word.doc_id and b.s < word.e and word.s < b.e))
 select docs.doc_id, {", ".join(f"count(*) filter (kind = {k}) as n_{n}" for k, n in enumerate(private.KINDS[:4]))},
        sha256(coalesce(string_agg({_NAMES} || ':' || s || ':' || e, ',' order by kind, s) filter (kind < 4), '')) as base_sha256,
        coalesce(string_agg({_NAMES} || ':' || s || ':' || e, ',' order by kind, s), '') as spans

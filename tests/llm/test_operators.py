@@ -475,6 +475,22 @@ def test_disclosing_terms(spark, written):
     assert all("term" not in got[i] for i in range(6, len(got)))
 
 
+def test_terms_of_groups(spark, written):
+    """A term that goes with a host is found though each address stands once; a term of one text is found where texts are many."""
+    rng = random.Random(10)
+    holders = [f"{words(rng, 15)} Acmecorp desk of p{'abcdefgh'[i]}@acme.example {words(rng, 5)}" for i in range(8)]
+    plain = [f"{words(rng, 9)} desk of {i}" for i in range(1200)]
+    one = "Kowalczyk writes from kow@else.example, signed kow"
+    df = written(frame(spark, [*holders, *plain, one, one]))
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in private.private_spans(df).collect()}
+    for i, t in enumerate(holders):
+        assert [t[int(a) : int(b)] for k, a, b in got[i] if k == "term"] == ["Acmecorp"]
+    assert all(not got[i] for i in range(8, 1208))
+    for i in (1208, 1209):
+        assert [one[int(a) : int(b)] for k, a, b in got[i] if k == "term"] == ["Kowalczyk", "writes", "from", "signed", "kow"]
+    assert all(k == "email" for i in range(8) for k, *_ in {r.doc_id: [s.split(":") for s in r.spans.split(",")] for r in private.private_spans(df, discount=99.0).collect()}[i])
+
+
 # ---------------------------------------------------------------- 8 Jaccard join
 
 
