@@ -92,23 +92,26 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, spans: DataFrame, disco
     that copies are no evidence, and `discount` is taken off the texts that hold both, so that a term met once tells less than one met
     often. Entities that the same texts hold are judged as one: a list of addresses doesn't meet each of its words once an address.
     """
-    texts = texts.withColumn("mark", F.xxhash64("text"))
-    firsts = save(texts.groupBy("mark").agg(F.min("rid").alias("rid")).select("rid"))
+    marks = texts.select("rid", F.xxhash64("text").alias("mark"))
+    firsts = save(marks.groupBy("mark").agg(F.min("rid").alias("rid")).select("rid"))
+    copies = save(marks.select("rid").join(firsts, "rid", "left_anti"))
+    total = F.lit(max(firsts.count(), 1))
     entities = save(_entities(spans))
     holders = save(found.select("rid", "text").join(entities.select("rid").distinct(), "rid", "left_semi"))
-    once = save(holders.join(firsts, "rid", "left_semi"))
     # what the texts of an entity are: their number and two sums over their ids' bits
-    held = F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("rid")), F.bit_xor(F.xxhash64("rid", F.lit(1))))
-    classes = entities.join(once.select("rid"), "rid", "left_semi").groupBy("entity").agg(held.alias("held"), F.count("*").alias("n_entity"))
+    held = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("rid")), F.bit_xor(F.xxhash64("rid", F.lit(1))))
+    classes = entities.join(copies, "rid", "left_anti").groupBy("entity").agg(held.alias("held"), F.count("*").alias("n_entity"))
     of_text = save(entities.join(classes, "entity").select("rid", "held", "n_entity").distinct())
-    judged = of_text.groupBy("rid").agg(F.collect_list(F.struct("held", "n_entity")).alias("judged"))
-    pairs = _terms(once.join(judged, "rid"), "judged").select(F.inline("judged"), "term")
-    pairs = pairs.groupBy("held", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
-    counts = _terms(texts.join(firsts, "rid", "left_semi")).groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.col("n_entity") / F.lit(max(firsts.count(), 1))
-    reveals = (F.col("n_both") - F.lit(discount)) / F.col("n_term") >= F.pow(share, F.lit(1.0 - disclosure))
-    told = save(pairs.join(counts, "term").where(reveals).select("held", "term"))
-    return save(_terms(holders, "rid").join(told, "term").join(of_text, ["rid", "held"], "left_semi").select("rid", "term").distinct()), holders
+    least = F.pow(F.col("n_entity") / total, F.lit(1.0 - disclosure))
+    # a term in more texts than this can't reveal any entity of the text; only rarer ones meet the text's entities
+    limit = F.max((F.col("n_entity") - F.lit(discount)) / least) * F.lit(1.000001)
+    counts = _terms(texts.join(copies, "rid", "left_anti")).groupBy("term").agg(F.count("*").alias("n_term"))
+    words = _terms(holders.join(of_text.groupBy("rid").agg(limit.alias("limit")), "rid"), "rid", "limit")
+    rare = save(words.join(counts, "term").where(F.col("n_term") <= F.col("limit")).select("rid", "term", "n_term"))
+    met = rare.join(of_text, "rid")
+    pairs = met.join(copies, "rid", "left_anti").groupBy("held", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = pairs.where((F.col("n_both") - F.lit(discount)) / F.col("n_term") >= least).select("held", "term")
+    return save(met.select("rid", "held", "term").join(pairs, ["held", "term"], "left_semi").select("rid", "term").distinct()), holders
 
 
 def _terms(texts: DataFrame, *keep: str) -> DataFrame:
