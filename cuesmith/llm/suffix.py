@@ -20,6 +20,8 @@ GRAM = 20
 #: Places of one anchor that a task sorts; anchors with more are dealt out in shares.
 GROUP = 1 << 15
 GATHERED = 1 << 18
+#: Bytes of a share's contexts whose strings are hashed at once; a string begins at about half of them.
+HOT_STEP = 1 << 19
 #: Bytes of contexts in a partition and in a group of small anchors, about; an anchor of more bytes is a group of its own.
 PARTITION, BUCKET = 32 << 20, 4 << 20
 
@@ -260,15 +262,23 @@ def _merged(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return rid[first], lo[first], (stop - number * span)[np.append(np.flatnonzero(first)[1:] - 1, len(rid) - 1)]
 
 
-def _cover_hot(group: pa.Table, least: int) -> pa.Table:
+def _cover_hot(group: pa.Table, least: int, step: int = HOT_STEP) -> Iterator[pa.RecordBatch]:
     """One share of a hot anchor's places: the runs that repeats within the share cover; and the hashes of the strings around its places
-    that they leave open (known: false), beside each different string that they find repeated (known: true)."""
+    that they leave open (known: false), beside each different string that they find repeated (known: true; of strings that lie far
+    apart in the order, once for each `step` bytes). Hashes are made for `step` bytes of contexts at a time."""
     anchor, rid, at, claim, left, right = _ordered(group)
     n, reach = len(rid), least - GRAM  # a string begins 0 to reach bytes before the anchor
     edge = np.zeros((n, reach + 2), np.int32)
     for members, far, length in maximal_repeats(left, right, anchor, least):
         np.add.at(edge, (members, np.full(len(members), least - length)), 1)
         np.add.at(edge, (members, far + 1), -1)
+    rows = max(1, step // (reach + least))
+    for i in range(0, n, rows):
+        yield _open_strings(*(x[i : i + rows] for x in (rid, at, claim, left, right, edge)), least)
+
+
+def _open_strings(rid: np.ndarray, at: np.ndarray, claim: np.ndarray, left: list[bytes], right: list[bytes], edge: np.ndarray, least: int) -> pa.RecordBatch:
+    n, reach = len(rid), least - GRAM
     before, ahead = (np.fromiter(map(len, x), np.int64, n) for x in (left, right))
     back = np.arange(reach + 1)
     there = (back <= before[:, None]) & (least - back <= ahead[:, None])
@@ -290,7 +300,7 @@ def _cover_hot(group: pa.Table, least: int) -> pa.Table:
     start = at[row[put]] - b[put]
     none = pa.nulls(int(some.sum()), pa.int64())
     join = lambda x, y: pa.concat_arrays([x, y])
-    return pa.table(
+    return pa.RecordBatch.from_pydict(
         {
             "rid": np.concatenate([rid[some], rid[row[put]]]),
             "lo": np.concatenate([at[some] - lo[some], start]),
@@ -374,8 +384,8 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     hot = of(True)
     if not hot.isEmpty():
 
-        def cover_hot(table: pa.Table) -> pa.Table:
-            return _cover_hot(table, least)
+        def cover_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _cover_hot(pa.Table.from_batches(batches), least)
 
         places = hot.mapInArrow(partial(_contexts, least=least), CONTEXTS)
         share = F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / group))

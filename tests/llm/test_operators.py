@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -401,6 +402,39 @@ def test_repeats(spark, written, empty, repeated, group):
         assert len(again) == 44 and all(r.n_bytes - r.n_removed == len(r.kept) for r in again)
 
 
+def test_hot_share_in_steps():
+    """A full share of a hot anchor is hashed within bounded memory, and steps of any size find the same."""
+    rng = random.Random(6)
+    core = rng.randbytes(90)
+
+    def share(n):
+        kinds = [(core[:30] + rng.randbytes(150), core[30:] + rng.randbytes(140)) for _ in range(n - n // 4)]
+        kinds += rng.sample(kinds, n // 4)  # some contexts twice
+        left, right = zip(*kinds, strict=True)
+        same = lambda x: pa.array([x] * n, pa.int64())
+        return pa.table({"anchor": same(7), "rid": pa.array(range(n), pa.int64()), "at": same(1000), "left": left, "right": right, "claim": same(500), "n": same(n)})
+
+    def found(batches):
+        rows = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in suffix.HOT.names}
+        runs = np.array([h is None or h != h for h in rows["h1"]])
+        known = np.array([k is True for k in rows["known"]])
+        return (
+            set(zip(*(rows[c][runs].tolist() for c in ("rid", "lo", "hi")), strict=True)),
+            sorted(zip(*(rows[c][~runs & ~known].tolist() for c in ("rid", "lo", "hi")), strict=True)),
+            {t.as_py() for b in batches for t in b.filter(b.column("known").fill_null(False)).column("h1")},
+        )
+
+    table = share(600)
+    assert found(list(suffix._cover_hot(table, 200, step=3000))) == found(list(suffix._cover_hot(table, 200, step=1 << 30)))
+
+    table = share(suffix.GROUP)
+    tracemalloc.start()
+    strings = sum(b.num_rows for b in suffix._cover_hot(table, 200))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert strings > 4_000_000 and peak < 250e6, (strings, peak)
+
+
 def test_interval_tree():
     rng = random.Random(2)
     for _ in range(30):
