@@ -322,14 +322,14 @@ def _join_bucket(group: pa.Table) -> pa.Table:
 
 
 def _near(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Open windows with 16 bits of each shingle that a run of `least` around the window's smallest one can reach (0: none there)."""
+    """Open windows with 32 bits of each shingle that a run of `least` around the window's smallest one can reach (0: none there)."""
     for batch in batches:
         tokens, cut, _ = text_shingles(*text_buffers(batch.column("text")))
-        tokens, rows = np.maximum(tokens >> U64(40) & U64(0xFFFF), U64(1)).astype("<u2"), []
+        tokens, rows = np.maximum(tokens >> U64(32), U64(1)).astype("<u4"), []
         for i, windows in enumerate(batch.column("windows").to_pylist()):
             for w in windows:
                 lo, hi = max(w["l"], w["c"] - least + 1), min(w["r"], w["c"] + least - 1)
-                near = np.zeros(2 * least - 1, "<u2")
+                near = np.zeros(2 * least - 1, "<u4")
                 at = lo - w["c"] + least - 1
                 near[at : at + hi - lo + 1] = tokens[cut[i] + lo : cut[i] + hi + 1]
                 rows.append((*[w[c] for c in OPEN.names[:-1]], near.tobytes()))
@@ -349,13 +349,33 @@ def fewest_shared(least: int) -> int:
     return -(-PERCENT * 2 * least // (100 + PERCENT))
 
 
+def fewest_different(near: np.ndarray, least: int) -> np.ndarray:
+    """Of each row the least number of different values in a run of `least` places without a 0."""
+    order = np.argsort(near, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(near, order, 1)
+    again = np.zeros(near.shape, np.int16)  # 1 + the place of the equal value before, 0 for the first
+    np.put_along_axis(again, order[:, 1:], np.where(sorted_[:, 1:] == sorted_[:, :-1], order[:, :-1] + 1, 0).astype(np.int16), 1)
+    few = np.full(len(near), least)
+    for s in range(near.shape[1] - least + 1):
+        run = slice(s, s + least)
+        n = (again[:, run] <= s).sum(axis=1)
+        few = np.where((near[:, run] > 0).all(axis=1), np.minimum(few, n), few)
+    return few
+
+
 def _meet_shares(group: pa.Table, least: int) -> pa.Table:
     """Windows of one share that may hold a passage of one in another share: of other components, with a run of `least` places around the
     one's smallest shingle that the other holds nearly as many of as similar runs share (two fewer). A longer similar passage holds such
-    a run, too, which meets in the list of its own smallest shingle."""
+    a run, too, which meets in the list of its own smallest shingle.
+
+    Places say little where a shingle is repeated: a run of one shingle lies in any window that holds it. So the different shingles that
+    both windows hold must be three quarters of those of either one's poorest run, too; similar runs' union isn't smaller than that."""
     column = lambda c: group.column(c).to_numpy()
     share, rid, component, l, r = (column(c) for c in ("share", "rid", "component", "l", "r"))
-    near = np.frombuffer(b"".join(group.column("near").to_pylist()), "<u2").reshape(len(rid), 2 * least - 1)
+    near = np.frombuffer(b"".join(group.column("near").to_pylist()), "<u4").reshape(len(rid), 2 * least - 1)
+    marks = np.where(near > 0, np.maximum(near >> np.uint32(16), 1), 0).astype(np.uint16)
+    few, sorted_ = fewest_different(near, least), np.sort(near, axis=1)
+    different = np.where(np.diff(sorted_, axis=1, prepend=np.uint32(0)) > 0, np.maximum(sorted_ >> np.uint32(16), 1), 0).astype(np.uint16)
     same = group.column("x")[0] == group.column("y")[0]
     left, right = np.flatnonzero(share == group.column("x")[0].as_py()), np.flatnonzero(share == group.column("y")[0].as_py())
     enough, found, held = fewest_shared(least) - 2, [np.zeros((6, 0), np.int64)], np.zeros(1 << 16, bool)
@@ -363,17 +383,18 @@ def _meet_shares(group: pa.Table, least: int) -> pa.Table:
         j = right[component[right] > component[i] if same else component[right] != component[i]]
         if not len(j):
             continue
-        held[near[i]] = True
+        held[marks[i]] = True
         held[0] = False
         for at in range(0, len(j), 1 << 13):
             q = j[at : at + (1 << 13)]
+            q = q[4 * held[different[q]].sum(axis=1) >= 3 * np.maximum(few[q], few[i])]
             total = np.zeros((len(q), 2 * least), np.int16)
-            np.cumsum(held[near[q]], axis=1, out=total[:, 1:])
+            np.cumsum(held[marks[q]], axis=1, out=total[:, 1:])
             q = q[(total[:, least:] - total[:, :least]).max(axis=1) >= enough]
             p = np.full(len(q), i)
             a, b = np.where(rid[p] < rid[q], p, q), np.where(rid[p] < rid[q], q, p)
             found.append(np.stack([rid[a], rid[b], l[a], r[a], l[b], r[b]]))
-        held[near[i]] = False
+        held[marks[i]] = False
     return pa.Table.from_arrays([pa.array(c) for c in np.unique(np.concatenate(found, axis=1), axis=1)], PART.names)
 
 

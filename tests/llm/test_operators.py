@@ -232,6 +232,34 @@ def test_open_lists(spark, written):
     assert links <= {frozenset((r.doc_id, r.other_id)) for r in found}
 
 
+def test_open_candidates_by_different_shingles():
+    """Runs of few shingles, over and over, meet no richer window that happens to hold them; no pair with similar runs is left out."""
+    rng, least, width = np.random.default_rng(3), 8, 15
+
+    def candidates(near):
+        n = len(near)
+        number = pa.array(range(n), pa.int64())
+        same = lambda x: pa.array([x] * n, pa.int64())
+        table = pa.table({"key": same(1), "x": same(0), "y": same(0), "share": same(0), "rid": number, "component": number, "l": same(0), "r": same(width - 1), "near": [x.astype("<u4").tobytes() for x in near]})
+        found = passages._meet_shares(table, least)
+        return set(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True))
+
+    value = lambda shape, most: (rng.integers(1, most + 1, shape) << 16 | rng.integers(0, 2)).astype(np.uint32)
+    rich = np.arange(1, width + 1, dtype=np.uint32) << 16
+    poor = np.where(np.arange(width) < least, rich[0], 0)
+    assert candidates([rich, poor]) == set() and candidates([rich, rich[::-1]]) == {(0, 1)} and candidates([poor, poor]) == {(0, 1)}
+
+    kinds = [value(width, most) for most in (1, 2, 3, 6, 12, 30) for _ in range(8)]
+    near = [np.where(rng.random(width) < 0.2, value(width, 6), x) for x in kinds for _ in range(2)]
+    got, enough = candidates(near), passages.fewest_shared(least) - 2
+    runs = [[set(x[s:e].tolist()) for s in range(width) for e in range(s + least, width + 1)] for x in near]
+    for i, j in itertools.combinations(range(len(near)), 2):
+        places = max(np.isin(near[j][s : s + least], near[i]).sum() for s in range(width - least + 1)) >= enough
+        similar = any(4 * len(p & q) >= 3 * len(p | q) for p in runs[i] for q in runs[j])
+        assert not (places and similar) or (i, j) in got, (i, j)
+    assert 100 < len(got)
+
+
 def test_passage_recall(spark, written):
     """Passages of 60 to 120 words with scattered edits: of the pairs whose best common passage has a similarity of 0.75 or more, found."""
     rng = random.Random(12)
