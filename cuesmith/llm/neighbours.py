@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 
 from cuesmith.llm.common import row_ids
 
-#: Vectors of one part, whose sorted projections a task holds: about 770 bytes a vector.
-PART = 1 << 16
+#: Vectors of one part, whose windows a task holds: about 1100 bytes a vector at the most.
+PART = 1 << 17
 #: Projections. A window reaches WIDTH radii to either side of the query.
 PROJECTIONS, WIDTH = 64, 1.5
 #: A vector as far as the radius collides less often than the threshold in 0.13 % of cases (so many standard deviations); nearer ones, rarer.
 MARGIN = 3.0
-#: Radii grow by this factor, from the typical distance divided by FIRST.
-GROWTH, FIRST = 1.25, 8.0
-#: Elements of one step of verification.
-STEP = 1 << 20
+#: Ranges of about equal numbers of vectors into which a sorted projection is cut; windows are made of whole ranges.
+RANGES = 32
+#: One vector in FIRST is verified for the first radius, but no fewer than LEAST; the others' collisions are counted CHUNK at a time.
+FIRST, LEAST, CHUNK = 16, 64, 1 << 15
+#: Queries searched together, those counted together, and vectors of one matrix product.
+BLOCK, COUNTED, TILE = 64, 32, 1 << 12
+#: Candidates of a chunk, one in so many, up to which they are verified one by one.
+SCATTERED = 64
 
 SEED = 20_231
 
@@ -40,20 +44,61 @@ def threshold(projections: int = PROJECTIONS, width: float = WIDTH, margin: floa
 
 
 def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, components added in order."""
+    """Euclidean distances in double precision, components added in order; query: one vector, or one for each."""
     total = np.zeros(len(vectors))
     for j in range(vectors.shape[1]):
-        d = vectors[:, j].astype(np.float64) - float(query[j])
+        d = vectors[:, j].astype(np.float64) - query[..., j].astype(np.float64)
         total += d * d
     return np.sqrt(total)
 
 
+def often(windows: Iterator[np.ndarray], least: int) -> np.ndarray:
+    """Bits that are set in `least` or more of the bitmaps: counts are kept in bit slices, added three bitmaps of one weight at a time."""
+    waiting: list[list[np.ndarray]] = []
+
+    def put(x: np.ndarray, weight: int) -> None:
+        if weight == len(waiting):
+            waiting.append([])
+        waiting[weight].append(x)
+        if len(waiting[weight]) == 3:
+            a, b, c = waiting[weight]
+            odd = a ^ b
+            a &= b
+            b = odd & c
+            a |= b
+            odd ^= c
+            waiting[weight] = [odd]
+            put(a, weight + 1)
+
+    for w in windows:
+        put(w, 0)
+    slices, weight = [], 0
+    while weight < len(waiting):
+        if len(waiting[weight]) == 2:
+            a, b = waiting[weight]
+            waiting[weight] = [a ^ b]
+            put(a & b, weight + 1)
+        slices += waiting[weight]
+        weight += 1
+    if least >> len(slices):
+        return np.zeros_like(slices[0])
+    more, equal = np.zeros_like(slices[0]), ~np.zeros_like(slices[0])
+    for i in reversed(range(len(slices))):
+        if least >> i & 1:
+            equal &= slices[i]
+        else:
+            more |= equal & slices[i]
+            equal &= ~slices[i]
+    return more | equal
+
+
 class SortedProjections:
-    """One part's vectors (all of one length) with their projections, each a sorted array.
+    """One part's vectors (all of one length) with their projections, each sorted and cut into ranges, with a bitmap of what lies before each cut.
 
-    For one query the windows of all projections grow with the radius; only what a window gains is counted. A vector whose count
-    reaches the threshold is verified by its distance. The search ends as soon as k verified vectors lie within the radius, or all
-    vectors are verified. Of equal vectors, only the first k + 1 in the given order take part: no query's k nearest hold more of them.
+    A few vectors, verified whole, give each query a first radius: the distance of its k-th nearest so far, which later ones shorten. All
+    others are compared with the query's window in each projection, WIDTH radii to either side, and their collisions are counted; those
+    that reach the threshold are verified by their distance. As no vector of the k nearest lies beyond the radius, what is missed is what
+    collides too rarely. Of equal vectors, only the first k + 1 in the given order take part: no query's k nearest hold more of them.
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int):
@@ -65,41 +110,93 @@ class SortedProjections:
         starts = np.flatnonzero(np.append(True, np.diff(same[by]) != 0))
         nth = np.empty(len(same), np.int64)
         nth[by] = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
-        first = nth <= k
+        first = np.flatnonzero(nth <= k)
+        mixed = np.random.Generator(np.random.PCG64(SEED)).permutation(len(first))  # the first ones are like the others
+        self.place, first = mixed, first[mixed]
         self.vectors, self.ids, self.rows, self.k = vectors[first], ids[first], rows[first], k
         largest = float(np.abs(self.vectors).max())
         self.scale = 1.0 / largest if largest else 1.0
+        self.middle = self.vectors.mean(axis=0, dtype=np.float64) * self.scale
+        self.near = (self.vectors.astype(np.float64) * self.scale - self.middle).astype(np.float32)
+        self.square = np.einsum("ij,ij->i", self.near, self.near)
         self.axes = directions(vectors.shape[1])
-        shadow = (self.vectors.astype(np.float64) * self.scale) @ self.axes
-        self.order = np.argsort(shadow, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(shadow.T, self.order, axis=1)
-        self.typical = sqrt(2 * float(shadow.var(axis=0).mean()))
+        n = len(first)
+        self.verified = min(n, max(LEAST, n // FIRST))
+        self.cuts, self.before = np.zeros((PROJECTIONS, 0)), []
+        if n > self.verified:
+            some = self.near[: max(self.verified, 1 << 12)] @ self.axes
+            self.cuts = np.quantile(some, np.arange(1, RANGES) / RANGES, axis=0).T.copy()
+        for a in range(self.verified, n, CHUNK):
+            shadow = (self.near[a : a + CHUNK] @ self.axes).T
+            width = -(-shadow.shape[1] // 64) * 64
+            bits = np.zeros((PROJECTIONS, RANGES + 1, width), bool)
+            for i, cut in enumerate(self.cuts):
+                bits[i, :, : shadow.shape[1]] = np.searchsorted(cut, shadow[i], side="right") < np.arange(RANGES + 1)[:, None]
+            self.before.append(np.packbits(bits, axis=2, bitorder="little").view(np.uint64))
 
     def search(self, queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the places of its k nearest vectors, its own row left out, nearest first, ties by the given order; and their distances."""
-        enough, n = threshold(), len(self.ids)
-        shadows = (queries.astype(np.float64) * self.scale) @ self.axes
-        for q, shadow, row in zip(queries, shadows, rows, strict=True):
-            count, left = np.zeros(n, np.int64), np.array([np.searchsorted(v, s) for v, s in zip(self.values, shadow, strict=True)])
-            right, radius = left.copy(), self.typical / FIRST
-            open_, found, far = self.rows != row, np.zeros(0, np.int64), np.zeros(0)
-            to_find = min(self.k, int(open_.sum()))
-            while True:
-                reach, gained = radius * WIDTH, []
-                for i, (v, s) in enumerate(zip(self.values, shadow, strict=True)):
-                    a, b = np.searchsorted(v, s - reach), np.searchsorted(v, s + reach, side="right")
-                    gained += [self.order[i, a : left[i]], self.order[i, right[i] : b]]
-                    left[i], right[i] = min(a, left[i]), max(b, right[i])
-                count += np.bincount(np.concatenate(gained), minlength=n)
-                ready = np.flatnonzero(open_ & (count >= enough))
-                open_[ready] = False
-                found, far = np.append(found, ready), np.append(far, distances(self.vectors[ready], q))
-                best = np.lexsort((found, far))[: self.k]
-                found, far = found[best], far[best]
-                if len(found) == to_find and (not to_find or far[-1] * self.scale <= radius or not open_.any()):
-                    break
-                radius = radius * GROWTH or np.finfo(np.float64).tiny
-            yield found, far
+        for a in range(0, len(queries), BLOCK):
+            yield from self._block(queries[a : a + BLOCK], rows[a : a + BLOCK])
+
+    def _block(self, queries: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, n, k = len(queries), len(self.ids), self.k
+        near = queries.astype(np.float64) * self.scale - self.middle
+        shadow, square, single = near @ self.axes, np.einsum("ij,ij->i", near, near), (-2 * near).astype(np.float32)
+        # what single precision may add to a squared distance, with some to spare
+        slack = 1e-7 * (near.shape[1] + 16) * (square + float(self.square.max()) + 1e-30)
+        huge = ~(square < 1e30)  # beyond single precision: verified without it
+        single[huge] = 0
+        best = np.zeros((4, 0))  # query, distance, rank in the given order, place
+
+        def radius() -> np.ndarray:
+            full = np.full(m, np.inf)
+            kth = np.flatnonzero(np.bincount(best[0].astype(np.int64), minlength=m) == k)
+            last = np.searchsorted(best[0], kth, side="right") - 1
+            full[kth] = best[1, last] * self.scale
+            return full
+
+        def verify(found: np.ndarray, first: int) -> None:
+            nonlocal best
+            q, x = np.divmod(np.flatnonzero(found), found.shape[1])
+            x += first
+            other = self.rows[x] != rows[q]
+            q, x = q[other], x[other]
+            if len(q):
+                found = np.concatenate([best, np.stack([q, distances(self.vectors[x], queries[q]), self.place[x], x])], axis=1)
+                found = found[:, np.lexsort((found[2], found[1], found[0]))]
+                start = np.searchsorted(found[0], found[0], side="left")
+                best = found[:, np.arange(found.shape[1]) - start < k]
+
+        def product(a: int, b: int, candidates: np.ndarray | None) -> None:
+            for t in range(a, b, TILE):
+                e = min(b, t + TILE)
+                far = single @ self.near[t:e].T
+                far += self.square[t:e]
+                most = radius() ** 2 * (1 + 1e-9)
+                if candidates is None and e - t > k + 1:  # k others are no farther than that
+                    most = np.minimum(most, np.partition(far, k, axis=1)[:, k] + square + 2 * slack)
+                inside = (far <= np.minimum(most - square + slack, 3e38).astype(np.float32)[:, None]) | huge[:, None]
+                if candidates is not None:
+                    inside &= candidates[:, t - a : e - a]
+                verify(inside, t)
+
+        product(0, self.verified, None)
+        for c, before in enumerate(self.before):
+            a = self.verified + c * CHUNK
+            b, reach = min(n, a + CHUNK), radius() * WIDTH
+            reach = np.where(np.isfinite(reach), reach * (1 + 1e-6) + 1e-9, np.inf)
+            low, high = (np.stack([np.searchsorted(cut, x, side="right") for cut, x in zip(self.cuts, (shadow + s * reach[:, None]).T, strict=True)]) for s in (-1, 1))
+            candidates = np.concatenate([often((before[i][high[i, q : q + COUNTED] + 1] ^ before[i][low[i, q : q + COUNTED]] for i in range(PROJECTIONS)), threshold()) for q in range(0, m, COUNTED)])
+            few = np.bitwise_count(candidates).sum() * SCATTERED <= m * (b - a)
+            candidates = np.unpackbits(candidates.view(np.uint8), axis=1, bitorder="little").view(bool)[:, : b - a]
+            if few:
+                verify(candidates, a)
+            else:
+                product(a, b, candidates)
+        cut = np.searchsorted(best[0], np.arange(m + 1))
+        for i in range(m):
+            yield best[3, cut[i] : cut[i + 1]].astype(np.int64), best[1, cut[i] : cut[i + 1]]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -111,9 +208,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     repeated rows are one another's neighbours at distance 0. An empty table gives no rows. Other columns aren't read.
 
     All rows are indexed: dealt evenly, whatever they hold, into parts of PART vectors. Each part's task sorts its projections, then
-    lets the queries, which are dealt to all parts, pass by in batches; each part's k best meet in one ranking per query. A task's
-    memory is one part's index; shuffled are the vectors once and the queries once for each part. The work is queries times parts,
-    as in high dimensions no part can be left out; recall is measured in the tests and README. vectors must be a plain scan.
+    lets the queries, which are dealt to all parts, pass by in batches, searched in blocks; each part's k best meet in one ranking per
+    query. A task's memory is one part's index; shuffled are the vectors once and the queries once for each part. The work is queries
+    times vectors, as in high dimensions no part can be left out; recall is measured in the tests and README. vectors must be a plain
+    scan.
     """
     x = F.col("v")
     good = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(v, x -> x != 0)")
@@ -122,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     parts = max(1, -(-slim.count() // PART))
     data = slim.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "n", F.lit(0).alias("asks"), "row", "id", "v")
     asked = slim.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "n", F.lit(1).alias("asks"), "row", "id", "v")
-    dealt = data.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "n", "asks")
+    dealt = data.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "n", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, index = None, [], None

@@ -102,6 +102,38 @@ def test_windows_stop_early():
     assert sum(checked) < 0.2 * 50 * 4000
 
 
+def test_loose_vectors_are_searched_in_blocks(monkeypatch):
+    """Where windows tell little apart, few vectors beyond the radius are verified in double precision, and none of the nearest is lost."""
+    rng = np.random.default_rng(9)
+    v = np.array(vectors(rng, 8000, spread=3.0), np.float32)
+    index = neighbours.SortedProjections(v, np.arange(8000), np.arange(8000), 10)
+    checked, plain = [], neighbours.distances
+    monkeypatch.setattr(neighbours, "distances", lambda x, q: checked.append(len(x)) or plain(x, q))
+    found = [set(index.ids[places].tolist()) for places, _ in index.search(v[:100], np.arange(100))]
+    assert sum(checked) < 0.05 * 100 * 8000
+    far = np.array([plain(v, q) for q in v[:100]])
+    far[np.arange(100), np.arange(100)] = np.inf
+    assert sum(len(set(w) & f) for w, f in zip(far.argsort(axis=1)[:, :10].tolist(), found, strict=True)) >= 990
+
+
+def test_counts_in_bit_slices():
+    rng = np.random.default_rng(10)
+    for n in (1, 2, 3, 7, 64):
+        bits = rng.random((n, 5, 128)) < rng.random((1, 5, 128))
+        maps = [np.packbits(b, axis=1, bitorder="little").view(np.uint64) for b in bits]
+        for least in (1, 2, n, n + 1, 47, 64, 200):
+            got = np.unpackbits(neighbours.often((m.copy() for m in maps), least).view(np.uint8), axis=1, bitorder="little")
+            assert (got.astype(bool) == (bits.sum(axis=0) >= least)).all()
+
+
+def test_queries_beyond_single_precision():
+    v = np.random.default_rng(11).standard_normal((300, 4)).astype(np.float32) * np.float32(1e-9)
+    index = neighbours.SortedProjections(v, np.arange(300), np.arange(300), 5)
+    query = np.full((1, 4), 1e25, np.float32)
+    ((places, far),) = index.search(query, np.array([1000]))
+    assert len(places) == 5 and (far == neighbours.distances(index.vectors[places], query[0])).all()
+
+
 def lloyd(rows, k=8, rounds=10, d=64):
     kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if v is not None and len(v) == d and all(x is not None and math.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
