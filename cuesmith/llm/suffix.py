@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuesmith.llm.common import BYTE, POWERS, STEP, U64, mix, row_ids, save, small_batches, text_buffers
+from cuesmith.llm.common import BYTE, POWERS, STEP, U64, discard, mix, row_ids, save, small_batches, text_buffers
 from cuesmith.llm.jaccard import planes, unplanes
 
 #: Bytes of an anchor's gram.
 GRAM = 20
+#: Places of an anchor among GATHERED ones from which they don't go to the anchor's bucket, only their number does; and places in such a packet.
+MANY, PACKET = 1 << 10, 1 << 10
 #: Places of one anchor that a task sorts; anchors with more are dealt out in shares.
 GROUP = 1 << 15
 GATHERED = 1 << 18
@@ -25,8 +27,9 @@ HOT_STEP = 1 << 19
 #: Bytes of contexts in a partition and in a group of small anchors, about; an anchor of more bytes is a group of its own.
 PARTITION, BUCKET = 32 << 20, 4 << 20
 
-ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at")]])
+ANCHORS = T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("key", "rid", "at", "n")]])
 SHARED = T.StructType([T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("n", T.LongType())])
+PLACES = T.StructType([*SHARED.fields, T.StructField("rids", T.BinaryType()), T.StructField("ats", T.BinaryType())])
 CONTEXTS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("at", T.LongType()), T.StructField("left", T.BinaryType()), T.StructField("right", T.BinaryType()), T.StructField("claim", T.LongType()), T.StructField("n", T.LongType())])
 RUNS = T.StructType([T.StructField("rid", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
 HOT = T.StructType([*RUNS.fields, T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("known", T.BooleanType())])
@@ -94,48 +97,101 @@ def pieces(offsets: np.ndarray, overlap: int, most: int = STEP // 4) -> Iterator
         first = last
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterator[pa.RecordBatch]:
-    waiting, n = [], 0
+def _find_anchors(batches: Iterator[pa.RecordBatch], buckets: int, least: int, often: int = MANY) -> Iterator[pa.RecordBatch]:
+    """Anchors by bucket of their hash, mixed, as anchors are the smallest hashes. Those found `often` among GATHERED are dealt to
+    other buckets in packets of one anchor, and their number (n) goes to the anchor's own: no bucket grows with one anchor's places."""
+    waiting, n, turn = [], 0, 0
 
-    def out() -> pa.RecordBatch:
-        key, rid, at = (np.concatenate(c) for c in zip(*waiting, strict=True))
-        bucket = ((key >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+    def packed(bucket: np.ndarray, key: np.ndarray, rid: np.ndarray | None, at: np.ndarray | None, size: np.ndarray | None) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        columns = [c.astype(k)[order] for c, k in ((key, "<u8"), (rid, "<i8"), (at, "<i4"))]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([planes(c[cut[i] : cut[i + 1]]) for i in full], pa.binary()) for c in columns]], ANCHORS.names)
+        full, cut = _runs(bucket[order])
+        columns = [pa.nulls(len(full), pa.binary()) if c is None else pa.array([planes(x) for x in np.split(c.astype(k)[order], cut[1:])][: len(full)], pa.binary()) for c, k in ((key, "<u8"), (rid, "<i8"), (at, "<i4"), (size, "<i8"))]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *columns], ANCHORS.names)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal turn
+        key, rid, at = (np.concatenate(c) for c in zip(*waiting, strict=True))
+        known, number, size = np.unique(key, return_inverse=True, return_counts=True)
+        many = size >= often
+        bucket = (mix(key) >> U64(32)) * U64(buckets) >> U64(32)
+        few = ~many[number]
+        yield packed(bucket[few].astype(np.int64), key[few], rid[few], at[few], None)
+        if many.any():
+            yield packed(((mix(known[many]) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64), known[many], None, None, size[many])
+            key, rid, at = key[~few], rid[~few], at[~few]
+            order = np.argsort(key, kind="stable")
+            key, rid, at = key[order], rid[order], at[order]
+            turn = turn or int(mix(rid[:1].astype(U64))[0] >> U64(40))
+            for one in np.split(np.arange(len(key)), _runs(key)[1][1:]):
+                for i in range(0, len(one), PACKET):
+                    turn += 1
+                    part = one[i : i + PACKET]
+                    yield packed(np.full(len(part), buckets + turn % buckets), key[part], rid[part], at[part], None)
 
     for batch in batches:
         rids = batch.column(0).to_numpy()
         data, offsets = text_buffers(batch.column(1))
+        before = (-1, np.zeros(0, np.int64))
         for a, row, at in pieces(offsets, least - 1):
             found, h = anchors(data[a : a + at[-1]], at, least)
             own = row + np.searchsorted(at, found, side="right") - 1
             place = a + found - offsets[own]
-            if len(found):
+            if before[0] == row:  # a long text's next part: what the two have in common counts once
+                fresh = ~np.isin(place, before[1])
+                own, place, h = own[fresh], place[fresh], h[fresh]
+            before = (row, place)
+            if len(place):
                 waiting.append((h, rids[own], place))
-                n += len(found)
+                n += len(place)
             if n >= GATHERED:
-                yield out()
+                yield from out()
                 waiting, n = [], 0
     if n:
-        yield out()
+        yield from out()
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of sorted x, and where each begins."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[first], first
+
+
+def _share(group: pa.Table, buckets: int) -> pa.Table:
+    """Places whose anchor is found elsewhere, too, with the number of its places; packets as they are (rids, ats), and of the anchors that
+    came in packets somewhere a row with their number alone."""
 
+    def column(c: str, kind: str, rows: list[bool]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[unplanes(b, kind) for b, some in zip(group.column(c).to_pylist(), rows, strict=True) if some]])
 
-def _share(group: pa.Table) -> pa.Table:
-    """Places whose anchor is found elsewhere, too, with the number of its places."""
-    column = lambda c, kind: np.concatenate([unplanes(b, kind) for b in group.column(c).to_pylist()])
-    key, rid, at = column("key", "<u8"), column("rid", "<i8"), column("at", "<i4").astype(np.int64)
+    def rows(places: dict) -> pa.Table:
+        return pa.Table.from_arrays([pa.nulls(len(places["anchor"]), pa.binary() if c[-1] == "s" else pa.int64()) if c not in places else pa.array(places[c]) for c in PLACES.names], PLACES.names)
+
+    if group.column("bucket")[0].as_py() >= buckets:
+        anchor = [unplanes(b, "<i8")[0] for b in group.column("key").to_pylist()]
+        return rows({"anchor": np.array(anchor), "rids": group.column("rid").combine_chunks(), "ats": group.column("at").combine_chunks()})
+    placed = [b is not None for b in group.column("rid").to_pylist()]
+    key, rid, at = column("key", "<u8", placed), column("rid", "<i8", placed), column("at", "<i4", placed).astype(np.int64)
     order = np.lexsort((at, rid, key))
     key, rid, at = key[order], rid[order], at[order]
-    once = np.append(True, (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (at[1:] != at[:-1])) if len(key) else np.zeros(0, bool)
-    key, rid, at = key[once], rid[once], at[once]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    n = np.repeat(size, size)
+    counted = [not p for p in placed]
+    hot, more = column("key", "<u8", counted), column("n", "<i8", counted)
+    known, number = np.unique(np.concatenate([key, hot]), return_inverse=True)
+    size = np.zeros(len(known), np.int64)
+    np.add.at(size, number, np.append(np.ones(len(key), np.int64), more))
+    n, hot = size[number[: len(key)]], np.unique(hot)
     keep = n > 1
-    return pa.table({"rid": rid[keep], "at": at[keep], "anchor": key[keep].view(np.int64), "n": n[keep]})
+    found = rows({"rid": rid[keep], "at": at[keep], "anchor": key[keep].view(np.int64), "n": n[keep]})
+    return pa.concat_tables([found, rows({"anchor": hot.view(np.int64), "n": size[np.searchsorted(known, hot)]})])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places as rows, those of packets, too."""
+    for batch in batches:
+        yield batch.filter(batch.column("rid").is_valid()).select(SHARED.names)
+        packets = batch.filter(batch.column("rids").is_valid()).select(["rids", "ats", "anchor", "n"]).to_pylist()
+        for i in range(0, len(packets), 64):
+            found = [(unplanes(p["rids"], "<i8"), unplanes(p["ats"], "<i4").astype(np.int64), np.full(len(p["rids"]) // 8, p["anchor"]), np.full(len(p["rids"]) // 8, p["n"])) for p in packets[i : i + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], SHARED.names)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -333,9 +389,19 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _shared(texts: DataFrame, least: int) -> DataFrame:
+    """Places (rid, at) of anchors that are found twice or more, with the anchor and the number of its places; a written table."""
     buckets = max(16, 2 * texts.rdd.getNumPartitions())
     found = texts.select("rid", "text").mapInArrow(partial(_find_anchors, buckets=buckets, least=least), ANCHORS)
-    return found.groupBy("bucket").applyInArrow(_share, SHARED)
+
+    def share(group: pa.Table) -> pa.Table:
+        return _share(group, buckets)
+
+    found = save(found.groupBy("bucket").applyInArrow(share, PLACES), free=True)
+    numbers = found.where("rid is null and rids is null").select("anchor", "n")
+    packets = found.where("rids is not null").drop("n").join(numbers, "anchor")
+    shared = save(found.where("rid is not null").unionByName(packets).mapInArrow(_unpacked, SHARED), free=True)
+    discard(found)
+    return shared
 
 
 def _grouped(around: DataFrame, places: int, least: int):
@@ -371,9 +437,9 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
     known_copies = known.where(f"n_bytes >= {least}").join(copies.where("n > 1"), "sha").select("rid", (F.col("rid") != F.col("first")).alias("extra"))
     copies = save(known_copies)
 
-    shared = save(_shared(texts, least))
+    shared = _shared(texts, least)
     places = shared.join(copies.where("extra"), "rid", "left_anti").groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("places"))
-    kept = save(texts.select("rid", "text").join(places, "rid"))
+    kept = save(texts.select("rid", "text").join(places, "rid"), free=True)
 
     def cover(table: pa.Table) -> pa.Table:
         return _cover(table, least)
@@ -391,12 +457,13 @@ def remove_repeats(docs: DataFrame, least: int = 200, id_col: str = "doc_id", te
         share = F.pmod(F.xxhash64("rid", "at"), F.ceil(F.col("n") / group))
         parts = max(16, shared.where(F.col("n") > group).count() * 2 * least // PARTITION)
         places = places.withColumn("share", share).repartition(parts, "anchor", "share")
-        strings = save(places.groupBy("anchor", "share").applyInArrow(cover_hot, HOT))
+        strings = save(places.groupBy("anchor", "share").applyInArrow(cover_hot, HOT), free=True)
         of_strings = strings.where("h1 is not null")
         twice = of_strings.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("known").alias("known")).where("n > 1 or known").select("h1", "h2")
         open_ = of_strings.where("not known").join(twice, ["h1", "h2"])
         runs = runs.unionByName(strings.where("h1 is null").select("rid", "lo", "hi")).unionByName(open_.select("rid", "lo", "hi"))
-    runs = save(runs)
+    runs = save(runs, free=True)
+    discard(shared)
 
     whole = copies.select("rid")
     # a text that stands for its copies is gone as a whole, like them
@@ -419,7 +486,7 @@ def repeat_groups(docs: DataFrame, least: int = 200, id_col: str = "doc_id", tex
     aren't in it (remove_repeats covers them).
     """
     texts = _texts(docs, id_col, text)
-    shared = save(_shared(texts, least))
+    shared = _shared(texts, least)
     places = shared.where(F.col("n") <= group).groupBy("rid").agg(F.collect_list(F.struct("at", "anchor", "n")).alias("places"))
 
     def groups(table: pa.Table) -> pa.Table:

@@ -463,6 +463,46 @@ def test_hot_share_in_steps():
     assert strings > 4_000_000 and peak < 250e6, (strings, peak)
 
 
+def dealt_anchors(texts, buckets, **limits):
+    ids, batch = pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())
+    return list(suffix._find_anchors(iter([pa.RecordBatch.from_arrays([ids, batch], ["rid", "text"])]), buckets, 200, **limits))
+
+
+def test_anchors_are_dealt_evenly():
+    """Neither the anchors' hashes, which are small ones, nor an anchor that most texts hold fill one bucket."""
+    rng = random.Random(12)
+    common_ = rng.randbytes(300)
+    for texts in ([rng.randbytes(3000) for _ in range(300)], [rng.randbytes(150) + common_ + rng.randbytes(150) for _ in range(3000)]):
+        held = np.zeros(32, np.int64)
+        for b in dealt_anchors(texts, 16):
+            for bucket, at in zip(b.column("bucket").to_pylist(), b.column("at").to_pylist(), strict=True):
+                held[bucket] += len(at or b"") // 4
+        assert held.sum() > 5000 and held.max() < 0.3 * held.sum(), held
+
+
+def test_anchors_found_often_in_one_task_only():
+    rng = random.Random(13)
+    passage = rng.randbytes(300)
+    batches = [b for n in (100, 10) for b in dealt_anchors([rng.randbytes(90) + passage + rng.randbytes(90) for _ in range(n)], 4, often=64)]
+    found = pa.Table.from_batches(batches)
+    groups = [suffix._share(found.filter(pa.array([x == i for x in found.column("bucket").to_pylist()])), 4) for i in set(found.column("bucket").to_pylist())]
+    found = pa.concat_tables(groups).to_pylist()
+    number = {r["anchor"]: r["n"] for r in found if r["rid"] is None and r["rids"] is None}
+    packets = pa.Table.from_pylist([r | {"n": number[r["anchor"]]} if r["rids"] else r for r in found if r["rid"] is not None or r["rids"]], schema=groups[0].schema)
+    rows = [tuple(r.values()) for b in suffix._unpacked(packets.to_batches()) for r in b.to_pylist()]
+    held = Counter(anchor for _, _, anchor, _ in rows)
+    assert number and all(held[a] == 110 for a in number)
+    assert all(n == held[a] for _, _, a, n in rows)
+
+
+def test_repeats_held_by_most_texts(spark, written):
+    rng = random.Random(14)
+    passage = words(rng, 60)
+    texts = [words(rng, 12) + passage[: rng.choice((150, 230, 290))] + words(rng, 12) for _ in range(1800)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(written(frame(spark, texts), parts=1), group=500).collect()}
+    assert got == dict(enumerate(brute.repeats(texts, 200)))
+
+
 def test_interval_tree():
     rng = random.Random(2)
     for _ in range(30):
